@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import chat, secrets, sentencepiece_codec, simhash, wavelet
 
 _QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_wavelet": wavelet.op2_wavelet,
+    "op4_chat": chat.op4_chat,
+    "op8_secrets": secrets.op8_secrets,
+    "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
+}
+_SQL: dict[str, str] = {
+    "op4_chat": chat.OP4_SQL,
 }
-_SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
