@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, secrets, sentencepiece_codec, simhash, wavelet
+from . import chat, secrets, sentencepiece_codec, simhash, toxicity, wavelet
 
 _QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_wavelet": wavelet.op2_wavelet,
     "op4_chat": chat.op4_chat,
     "op8_secrets": secrets.op8_secrets,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
 _SQL: dict[str, str] = {
