@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, materialise, table, texts
+from .common import batch_rows, free_shuffles, materialise, table, texts
 from .components import connected_components
 
 SEED = 42
@@ -58,8 +58,49 @@ def _variants() -> F.Column:
     return F.explode(F.expr(f"concat({keys.format(half=low, number='0L')}, {keys.format(half=high, number='137438953472L')})"))
 
 
-def _near(x: str, y: str) -> F.Column:
-    return F.expr(f"bit_count({x} ^ {y}) <= 2")
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (key, fp) in this order: (a, b) for the near pairs of a bucket, or (fp, fp) for each member of a crowded one.
+
+    Holds one batch and at most BUCKET rows before it, however large a bucket is.
+    """
+    keys, fps = np.empty(0, np.int64), np.empty(0, np.int64)
+    crowded: int | None = None
+
+    def settle(keys: np.ndarray, fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        left, right = [], []
+        for size in np.unique(sizes[sizes > 1]):
+            rows = starts[sizes == size]
+            if size > BUCKET:
+                all_of = fps[(rows[:, None] + np.arange(size)).ravel()]
+                left.append(all_of)
+                right.append(all_of)
+                continue
+            i, j = np.triu_indices(size, 1)
+            a, b = fps[(rows[:, None] + i).ravel()], fps[(rows[:, None] + j).ravel()]
+            near = np.bitwise_count((a ^ b).view(np.uint64)) <= 2
+            left.append(a[near])
+            right.append(b[near])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (left, right)], ["a", "b"])
+
+    for batch in batches:
+        keys = np.concatenate([keys, batch.column("key").to_numpy(zero_copy_only=False)])
+        fps = np.concatenate([fps, batch.column("fp").to_numpy(zero_copy_only=False)])
+        if crowded is not None:
+            more = int(np.searchsorted(keys, crowded, "right"))
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.array(fps[:more])] * 2, ["a", "b"])
+            keys, fps = keys[more:], fps[more:]
+        if len(keys):
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            sizes = np.diff(np.append(starts, len(keys)))
+            whole = sizes[-1] > BUCKET  # the last bucket may go on: keep it back, or if it is crowded pass it on as it comes
+            crowded = int(keys[-1]) if whole else None
+            upto = len(starts) if whole else len(starts) - 1
+            yield settle(keys, fps, starts[:upto], sizes[:upto])
+            keep = len(keys) if whole else starts[-1]
+            keys, fps = keys[keep:], fps[keep:]
+    if len(keys):
+        yield settle(keys, fps, np.array([0]), np.array([len(keys)]))
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -69,24 +110,20 @@ def links(nodes: DataFrame) -> DataFrame:
     near pairs. Those of larger buckets are also indexed by all variants without two of the 64 bits: at most four
     fingerprints share such a key, any two of them differ in those bits alone, and any two that differ in two bits
     at most share one. So the work grows with the number of fingerprints, never with the square of a bucket.
+    The index is shuffled once, as bare (key, fp) rows: nearly all keys are single, so combining before gains nothing.
     """
-    index = nodes.select("fp", _variants().alias("key"))
-    stats = materialise(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets")
-    pairs = stats.where("n = 2").where(_near("a", "b")).select("a", "b")
-    crowded = stats.where("n > 2").select("key", "n")
-    members = materialise(index.join(crowded, "key"), "members")
-    some = (
-        members.where(F.col("n") <= BUCKET).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-        .select(F.explode(F.expr("flatten(transform(fps, (a, i) -> transform(filter(slice(fps, i + 2, size(fps)), b -> bit_count(a ^ b) <= 2), b -> named_struct('a', a, 'b', b))))")).alias("e"))
-        .select("e.a", "e.b")
-    )
+    spark = nodes.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = nodes.select("fp").repartition(tasks, "fp").select(_variants().alias("key"), "fp")
+    with batch_rows(spark, 50_000):
+        found = materialise(index.repartition(tasks, "key").sortWithinPartitions("key", "fp").mapInArrow(_sweep, "a long, b long"), "near")
     two = "flatten(transform(sequence(0, 62), p -> transform(sequence(p + 1, 63), q -> named_struct('p', p * 64 + q, 'v', fp & ~(shiftleft(1L, p) | shiftleft(1L, q))))))"
-    many = (
-        members.where(F.col("n") > BUCKET).select("fp").distinct().select("fp", F.explode(F.expr(two)).alias("k"))
+    crowded = (
+        found.where("a = b").select(F.col("a").alias("fp")).distinct().repartition(tasks, "fp").select("fp", F.explode(F.expr(two)).alias("k"))
         .groupBy("k").agg(F.min("fp").alias("a"), F.array_distinct(F.collect_list("fp")).alias("fps")).where("size(fps) > 1")
         .select("a", F.explode("fps").alias("b")).where("a <> b")
     )
-    return pairs.union(some).union(many).distinct()
+    return found.where("a <> b").union(crowded).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:

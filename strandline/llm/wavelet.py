@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -10,6 +11,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,8 +22,8 @@ MAGIC = b"SWM1"
 END_ID = 2
 #: Tokens of a shard file at most (a longer document gets a file of its own), and documents of a task's range of ids about.
 SHARD_TOKENS, RANGE_DOCS = 2_000_000, 8_000
-#: Distinct words whose ids a worker keeps at most; the cache starts anew beyond that.
-CACHED_WORDS = 200_000
+#: Distinct words of each of the two generations that a worker keeps the ids of, about.
+CACHED_WORDS = 500_000
 _BLOCK = 512  # bits of a rank block
 
 
@@ -38,23 +40,25 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, values: np.ndarray, levels: int | None = None) -> WaveletMatrix:
-        values = np.asarray(values, np.uint32)
         levels = levels or max(1, int(values.max(initial=0)).bit_length())
-        planes = []
+        kind = np.uint16 if levels <= 16 else np.uint32
+        values, planes = np.asarray(values).astype(kind), []
         for b in reversed(range(levels)):
-            ones = (values >> np.uint32(b)).astype(np.uint8) & 1
+            ones = (values & kind(1 << b)).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
-            ones = ones.view(bool)
-            values = np.concatenate([values[~ones], values[ones]])
+            if b:
+                values = np.concatenate([np.compress(~ones, values), np.compress(ones, values)])
         return cls(len(values), planes)
 
     def values(self) -> np.ndarray:
         """The whole sequence: the levels' stable partitions undone from the last to the first."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.levels <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for b, plane in enumerate(reversed(self.planes)):
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
-            zeros, back = self.n - int(ones.sum()), np.empty(self.n, np.uint32)
-            back[~ones], back[ones] = out[:zeros], out[zeros:] | np.uint32(1 << b)
+            at, back = np.flatnonzero(ones), np.empty(self.n, kind)
+            zeros = self.n - len(at)
+            back[np.flatnonzero(~ones)], back[at] = out[:zeros], out[zeros:] | kind(1 << b)
             out = back
         return out
 
@@ -125,12 +129,12 @@ class WaveletMatrix:
 
 
 def pack(doc_ids: Iterable[int], lengths: Iterable[int], values: np.ndarray) -> bytes:
-    """A shard file: magic, counts, the documents' ids and lengths deflated, then the planes (deflated where that helps)."""
+    """A shard file: magic, counts, the documents' ids and lengths deflated, then the planes (compressed where that helps)."""
     matrix, doc_ids, lengths = WaveletMatrix.build(values), np.asarray(list(doc_ids), np.int64), np.asarray(list(lengths), np.int64)
     head = zlib.compress(doc_ids.tobytes() + lengths.tobytes(), 1)
     out = [MAGIC, struct.pack("<QQBI", matrix.n, len(doc_ids), matrix.levels, len(head)), head]
     for plane in matrix.planes:
-        small = zlib.compress(plane.tobytes(), 1)
+        small = zstandard.ZstdCompressor(level=1).compress(plane.tobytes())
         kept = small if len(small) < 0.9 * plane.nbytes else plane.tobytes()
         out += [struct.pack("<BQ", kept is small, len(kept)), kept]
     return b"".join(out)
@@ -147,7 +151,7 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
         small, size = struct.unpack_from("<BQ", data, at)
         at += struct.calcsize("<BQ")
         plane, at = data[at : at + size], at + size
-        planes.append(np.frombuffer(zlib.decompress(plane) if small else plane, np.uint8))
+        planes.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(plane) if small else plane, np.uint8))
     return both[:docs], both[docs:], WaveletMatrix(n, planes)
 
 
@@ -174,30 +178,70 @@ class _Store:
             return f.read()
 
 
+#: Between a letter and a run of these signs that ends a word, the tokenizer cuts by itself.
+_TAIL = re.compile(rb"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,!?;:|#&*%$]+)(?=\s|$)")
+
+
+def words_of(text: str) -> list[bytes] | list[str]:
+    """A text's parts, for a tokenizer that lower-cases and cuts at white space and between letters and signs.
+
+    Texts of Latin-1 letters are lower-cased here and come as Latin-1 bytes; others, and such as may hold a
+    special token's name, come as strings, cut at ASCII white space and unchanged.
+    """
+    if "<|" not in text:
+        try:
+            return _TAIL.sub(rb" \1", text.lower().encode("latin-1")).split()
+        except UnicodeEncodeError:
+            pass
+    return [w.decode("utf-8", "replace") for w in text.encode("utf-8", "surrogatepass").split()]
+
+
 class WordEncoder:
-    """Encodes texts word by word with a tokenizer whose tokens never cross ASCII white space, keeping the words' ids.
+    """Encodes texts part by part with a tokenizer whose tokens never cross the cuts of words_of(), as word_bpe_49k's do.
 
-    Splitting there is exact for a tokenizer that drops white space before its merges (word_bpe_49k does); a
-    word's ids are the library's own.
+    A part's ids are the library's own, kept once found. Parts have slots in two generations of a cache: when the
+    younger is full it becomes the older, and parts found in the older one move on, so what is frequent stays.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, docs: list[list[bytes]]) -> list[bytes]:
-        """For each document's words its ids as little-endian unsigned 32-bit integers."""
-        new = list({w for words in docs for w in words if w not in self.known})
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, list({w for words in docs for w in words})
+        self.older: dict[bytes | str, bytes] = {}
+        self.slots = _Slots(self.older)
+
+    def encode(self, docs: list[list]) -> list[bytes]:
+        """For each document's parts its ids as little-endian unsigned 32-bit integers."""
+        if len(self.slots) > CACHED_WORDS:
+            self.older = dict(zip(self.slots, self.slots.ids, strict=True))
+            self.slots = _Slots(self.older)
+        slot, ids, new = self.slots.__getitem__, self.slots.ids, self.slots.new
+        found = [list(map(slot, words)) for words in docs]
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
-            for word, got in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, words)) for words in docs]
+            texts_of = [w.decode("latin-1") if isinstance(w, bytes) else w for w in part]
+            for word, got in zip(part, self.tokenizer.encode_batch_fast(texts_of, add_special_tokens=False), strict=True):
+                ids[slot(word)] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+        new.clear()
+        return [b"".join(map(ids.__getitem__, x)) for x in found]
+
+
+class _Slots(dict):
+    """part -> its place in ids; an unknown part gets the next place, with ids from the older generation or to come."""
+
+    def __init__(self, older: dict[bytes | str, bytes]) -> None:
+        super().__init__()
+        self.ids: list[bytes] = []
+        self.new: list[bytes | str] = []
+        self._older = older
+
+    def __missing__(self, part: bytes | str) -> int:
+        self[part] = place = len(self.ids)
+        ids = self._older.get(part)
+        self.ids.append(ids or b"")
+        if ids is None:
+            self.new.append(part)
+        return place
 
 
 @cache
@@ -223,7 +267,7 @@ def _write(folder: str, path: str):
             return pa.RecordBatch.from_pylist([{"shard_range": key, "part": part, "name": name, "n_docs": len(held), "n_tokens": sum(lengths)}], schema=_MANIFEST)
 
         for batch in batches:
-            encoded = encoder(path).encode([t.as_py().encode("utf-8", "surrogatepass").split() for t in batch.column("text")])
+            encoded = encoder(path).encode([words_of(t.as_py()) for t in batch.column("text")])
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 ids += end
                 if held and size + len(ids) // 4 > SHARD_TOKENS:
