@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, licenses, quality, secrets, sentencepiece_codec, simhash, toxicity, wavelet
+from . import chat, decontamination, licenses, quality, secrets, sentencepiece_codec, simhash, substrings, toxicity, wavelet
 
 _QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_wavelet": wavelet.op2_wavelet,
+    "op3_substrings": substrings.op3_substrings,
     "op4_chat": chat.op4_chat,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_quality": quality.op6_quality,
