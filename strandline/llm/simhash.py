@@ -43,15 +43,6 @@ def _fingerprints(width: int):
     return run
 
 
-def _keyed_fingerprints(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_key"), pa.array(got.view(np.int64))], ["doc_id", "text_hash", "fp"])
-
-    return run
-
-
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long."""
     return texts(docs).mapInArrow(_fingerprints(width), "doc_id long, fp long")
@@ -153,16 +144,19 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, width: int = 3) -> DataFrame:
+def representatives(docs: DataFrame) -> DataFrame:
     """The documents, columns and all, without those that a near-duplicate stands for: of each class the row with the least doc_id stays.
 
-    Of rows that share a doc_id the one with the least text hash stays, of equal rows one. Where no row of a class has a doc_id, the row
-    with the least text hash stays.
+    Classes are what similarity.links() connects: fingerprints within two bits, and texts whose sets of five-word shingles have a
+    similarity of 0.8 or more. Of rows that share a doc_id the one with the least text hash stays, of equal rows one. Where no row of a
+    class has a doc_id, the row with the least text hash stays.
     """
+    from . import similarity
+
     keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    prints = materialise(keyed.select(F.col("_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("_key")).mapInArrow(_keyed_fingerprints(width), "doc_id long, text_hash long, fp long"), "fingerprints")
+    prints = similarity.signatures(docs)
     nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("least"))
-    roots = connected_components(links(nodes))
+    roots = connected_components(links(nodes).union(similarity.links(docs, prints)))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("least", F.coalesce("root", "fp").alias("root"))
     stay = materialise(rooted.groupBy("root").agg(F.min("least").alias("x")).select(F.col("x.doc_id").alias("_stay"), F.col("x.text_hash").alias("_hash")), "representatives")
     free_shuffles(docs.sparkSession)

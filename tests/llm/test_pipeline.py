@@ -9,7 +9,8 @@ import sentencepiece
 from strandline.llm import common, secrets, sentencepiece_codec, toxicity
 
 from .test_decontamination import brute as contained
-from .test_simhash import brute_classes, brute_fingerprint
+from .test_similarity import brute_near
+from .test_simhash import brute_fingerprint
 from .test_toxicity import corpus
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -31,7 +32,7 @@ def tables(spark, folder):
 def brute(spark, folder, docs, items):
     lexicon = toxicity.fit(common.table(spark, folder, "documents"), common.table(spark, folder, "labels"))
     docs = [(d, t) for d, t in docs if lexicon.scores(np.array([lexicon.features(t or "")]))[0] < corpus_pipeline.TOXIC_FROM]
-    least = brute_classes({d: brute_fingerprint(t or "") for d, t in docs})
+    least = brute_near(dict(docs), lambda x, y: (brute_fingerprint(x) ^ brute_fingerprint(y)).bit_count() <= 2)
     docs = [(d, t) for d, t in docs if least[d] == d]
     docs = [(d, t) for d, t in docs if not contained([(d, t)], items)]
     own, out = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model()), {}
