@@ -124,3 +124,32 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+_SPLIT = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_VALUES = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))
+_GRAM = f"array_to_string(w[i + 1:i + {K}], ' ')"
+
+
+def _sql_places(phrase: str) -> str:
+    words = phrase.split()
+    return "list_filter(range(0, len(w)), lambda i: " + " AND ".join(f"coalesce(w[i + {j + 1}] = '{x}', false)" for j, x in enumerate(words)) + ")"
+
+
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), {_SPLIT}), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT template, label, list_filter(regexp_split_to_array(lower(text), {_SPLIT}), lambda x: x <> '') AS w FROM (VALUES {_VALUES}) AS v(template, label, text)),
+tg AS (SELECT template, label, n, i AS spot, {_GRAM} AS gram FROM (SELECT template, label, len(w) AS n, w, unnest(range(0, len(w) - {K - 1})) AS i FROM t WHERE len(w) >= {K})),
+dg AS (SELECT r, i AS place, {_GRAM} AS gram FROM (SELECT r, w, unnest(range(0, len(w) - {K - 1})) AS i FROM d WHERE len(w) >= {K})),
+v AS (SELECT r, template, label, n, place - spot AS diagonal, min(place) AS first, list(DISTINCT spot) AS spots FROM dg JOIN tg USING (gram) GROUP BY ALL),
+m AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o > {SHIFT} OR abs(first - lag(first) OVER o) > 2 * n THEN 1 ELSE 0 END AS new FROM v WINDOW o AS (PARTITION BY r, template ORDER BY diagonal)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal) AS island FROM m),
+c AS (SELECT r, label, count(DISTINCT spot + x) / n AS share FROM (SELECT r, template, label, n, island, unnest(spots) AS spot FROM s), (SELECT unnest(range(0, {K})) AS x) GROUP BY r, template, label, n, island),
+f AS (SELECT r, list(DISTINCT label) AS more, max(share) AS share FROM c WHERE share >= {COVERED} GROUP BY r),
+b AS (SELECT r, doc_id, len(w) AS n_words, {", ".join(f"{_sql_places(p)} AS p{i}" for i, p in enumerate(PHRASES.values()))} FROM d),
+e AS (SELECT *, list_concat(list_concat(p0, p1), p2) AS places, list_filter([{", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, label in enumerate(PHRASES))}], lambda x: x IS NOT NULL) AS present FROM b)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
+  array_to_string(list_sort(present), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(present, coalesce(more, [])))), ',') AS labels,
+  CASE WHEN len(places) > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score
+FROM e LEFT JOIN f USING (r)
+"""

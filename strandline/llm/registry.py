@@ -21,9 +21,11 @@ _QUERIES = {
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
 _SQL: dict[str, str] = {
+    "op3_substrings": substrings.OP3_SQL,
     "op4_chat": chat.OP4_SQL,
     "op5_decontamination": decontamination.OP5_SQL,
     "op6_quality": quality.OP6_SQL,
+    "op7_licenses": licenses.OP7_SQL,
 }
 
 
