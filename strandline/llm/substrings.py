@@ -185,3 +185,19 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> Data
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP3_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+),
+g AS (
+  SELECT r, doc_id, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS gram
+  FROM (SELECT r, doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM d WHERE len(words) >= {WINDOW} AND doc_id IS NOT NULL)
+),
+later AS (SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY gram) AS first FROM g) WHERE first < doc_id),
+w AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
+c AS (SELECT w.r, w.word, w.i, coalesce(w.i - max(later.i) OVER (PARTITION BY w.r ORDER BY w.i) < {WINDOW}, false) AS gone FROM w LEFT JOIN later ON later.r = w.r AND later.i = w.i),
+k AS (SELECT r, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM c GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
