@@ -128,11 +128,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     known = docs.where(F.col("doc_id").isNotNull())
     pieces = materialise(known.mapInArrow(_cut(window, kmer), _PIECE), "pieces")
     buckets = pieces.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("c").alias("c1"), F.max("c").alias("c2"))
-    met = buckets.where("a < b").select("m", (F.col("c1") != F.col("c2")).alias("branches"), F.col("a").alias("least"))
+    # each aggregate is written before it is joined: then both sides of the join are plain exchanges, and a hot key's rows can be split
+    met = materialise(buckets.where("a < b").select("m", (F.col("c1") != F.col("c2")).alias("branches")), "met")
     shared = materialise(pieces.join(met, "m"), "shared")
     discard(spark, pieces)
     free_shuffles(spark)
-    paths = shared.groupBy("m", "c").agg(F.min("doc_id").alias("first"))
+    paths = materialise(shared.groupBy("m", "c").agg(F.min("doc_id").alias("first")), "paths")
     placed = materialise(shared.join(paths, ["m", "c"]), "placed")
     discard(spark, shared)
     free_shuffles(spark)
@@ -141,7 +142,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     chosen = known.join(own, ["doc_id", "text_hash"])
     single = materialise(chosen.mapInArrow(_windows(window), "m long, w long, doc_id long, text_hash long, start int"), "windows")
     free_shuffles(spark)
-    again = single.groupBy("m", "w").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    again = materialise(single.groupBy("m", "w").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"), "again")
     later = single.join(again, ["m", "w"]).where("doc_id > a").select("doc_id", "text_hash", "start", F.lit(1).alias("n"))
     return placed.where("doc_id > first").select("doc_id", "text_hash", "start", "n").union(later)
 

@@ -23,7 +23,7 @@ END_ID = 2
 #: Tokens of a shard file at most (a longer document gets a file of its own), and documents of a task's range of ids about.
 SHARD_TOKENS, RANGE_DOCS = 2_000_000, 8_000
 #: Distinct words of each of the two generations that a worker keeps the ids of, about.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 _BLOCK = 512  # bits of a rank block
 
 
@@ -180,6 +180,10 @@ class _Store:
 
 #: Between a letter and a run of these signs that ends a word, the tokenizer cuts by itself.
 _TAIL = re.compile(rb"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,!?;:|#&*%$]+)(?=\s|$)")
+#: A full stop or comma in a run of signs; where there is none, each of them can be cut off by itself.
+_RUN = re.compile(rb"[^\sA-Za-z0-9\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff][.,]")
+#: Words by which a tokenizer is tried out: whether its model alone gives what the whole tokenizer gives.
+TRIAL = ("a", "the", "tions", "onenthatwhing", "é", "über", "façonñ", "ß", "ªº", "straßenà", "qzxjkvw", "þðæøå")
 
 
 def words_of(text: str) -> list[bytes] | list[str]:
@@ -190,7 +194,12 @@ def words_of(text: str) -> list[bytes] | list[str]:
     """
     if "<|" not in text:
         try:
-            return _TAIL.sub(rb" \1", text.lower().encode("latin-1")).split()
+            data = text.lower().encode("latin-1")
+            if _RUN.search(data):
+                return _TAIL.sub(rb" \1", data).split()
+            for sign in (b".", b","):
+                data = data.replace(sign + b" ", b" " + sign + b" ").replace(sign + b"\n", b" " + sign + b"\n")
+            return data.split()
         except UnicodeEncodeError:
             pass
     return [w.decode("utf-8", "replace") for w in text.encode("utf-8", "surrogatepass").split()]
@@ -199,31 +208,69 @@ def words_of(text: str) -> list[bytes] | list[str]:
 class WordEncoder:
     """Encodes texts part by part with a tokenizer whose tokens never cross the cuts of words_of(), as word_bpe_49k's do.
 
-    A part's ids are the library's own, kept once found. Parts have slots in two generations of a cache: when the
-    younger is full it becomes the older, and parts found in the older one move on, so what is frequent stays.
+    A part's ids are the library's own, kept once found. The cache has two generations: when the younger is full it
+    becomes the older, and parts found in the older one move on, so what is frequent stays.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.older: dict[bytes | str, bytes] = {}
-        self.slots = _Slots(self.older)
+        self.model = self.tokenizer.model
+        self.direct = all(self._of_letters(w) == self._whole(w) for w in TRIAL)
+        self.cache = _Cache(self, {})
 
     def encode(self, docs: list[list]) -> list[bytes]:
         """For each document's parts its ids as little-endian unsigned 32-bit integers."""
-        if len(self.slots) > CACHED_WORDS:
-            self.older = dict(zip(self.slots, self.slots.ids, strict=True))
-            self.slots = _Slots(self.older)
-        slot, ids, new = self.slots.__getitem__, self.slots.ids, self.slots.new
-        found = [list(map(slot, words)) for words in docs]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            texts_of = [w.decode("latin-1") if isinstance(w, bytes) else w for w in part]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(texts_of, add_special_tokens=False), strict=True):
-                ids[slot(word)] = struct.pack(f"<{len(got.ids)}I", *got.ids)
-        new.clear()
-        return [b"".join(map(ids.__getitem__, x)) for x in found]
+        if len(self.cache) > CACHED_WORDS:
+            self.cache = _Cache(self, dict(self.cache))
+        ids = self.cache.__getitem__
+        return [b"".join(map(ids, words)) for words in docs]
+
+    def ids(self, part: bytes | str) -> bytes:
+        word = part.decode("latin-1") if isinstance(part, bytes) else part
+        if self.direct and isinstance(part, bytes):
+            if word.isalpha():
+                return self._of_letters(word)
+            if len(both := _LETTERS.split(word)) > 1 and "'" not in word:  # letters, and what is cut off from them
+                return b"".join(self._of_letters(x) if x.isalpha() else self.cache[x.encode("latin-1")] for x in both if x)
+        return self._whole(word)
+
+    def _whole(self, word: str) -> bytes:
+        ids = self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _of_letters(self, word: str) -> bytes:
+        """A lower-case word of Latin-1 letters by the model alone: there is nothing to normalise or to cut in it."""
+        tokens = self.model.tokenize(word.translate(_BYTES))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+
+#: Runs of Latin-1 letters: the tokenizer cuts between them and anything else, but for an apostrophe with certain letters.
+_LETTERS = re.compile("([a-zªµºß-öø-ÿ]+)")
+
+
+class _Cache(dict):
+    """part -> its ids; an unknown part is looked for in the older generation, then encoded."""
+
+    def __init__(self, encoder: WordEncoder, older: dict[bytes | str, bytes]) -> None:
+        super().__init__()
+        self._encoder, self._older = encoder, older
+
+    def __missing__(self, part: bytes | str) -> bytes:
+        ids = self._older.get(part)
+        self[part] = ids = self._encoder.ids(part) if ids is None else ids
+        return ids
+
+
+def _byte_letters() -> dict[int, str]:
+    """Latin-1 characters as the characters that byte-level vocabularies have for their UTF-8 bytes: the visible ones stand for themselves, the rest are numbered from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in seen)}
+    return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+
+
+_BYTES = _byte_letters()
 
 
 class _Slots(dict):
