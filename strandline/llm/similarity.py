@@ -1,4 +1,4 @@
-"""Near-duplicates at a shingle similarity, found by segments of long SimHash signatures with one symbol left out."""
+"""Near-duplicates at a shingle similarity, found exactly by a prefix filter on the sets of shingles."""
 
 from __future__ import annotations
 
@@ -11,15 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_rows, materialise, texts
+from .components import connected_components
 from .simhash import _LANES, fingerprint
 from .substrings import _hashes, _mix, _runs
 
 #: Words of a shingle, and the least Jaccard similarity of two texts' sets of shingles.
 WIDTH, SIMILARITY = 5, 0.8
-#: Share of signature bits in which texts of that similarity differ when single words were changed, and how surely such a pair must meet.
+#: Texts whose shingles are counted to tell the frequent ones, and how many of these are kept. They set the order of the prefixes, not the result.
+SAMPLE, FREQUENT = 10_000, 200_000
+#: Buckets of up to this size give all their pairs at once; of larger ones each text first meets the LEAST first texts and the one before
+#: it, then in two rounds so many of those that are not linked to it by then, and at last all that are not.
+BUCKET, LEAST, ROUNDS = 16, 3, (8, 16)
+#: plan() and signature() are no longer used by links(). Share of signature bits in which texts of that similarity differ when single words were changed, and how surely such a pair must meet.
 DIFFERENT, SURE = 0.095, 0.997
-#: Buckets of up to this size give all their pairs; in larger ones each text meets the LEAST first texts and the one before it.
-BUCKET, LEAST = 16, 3
 #: Documents of candidate pairs up to which their keys are broadcast.
 BROADCAST_ROWS = 200_000
 _SYMBOL = 4  # bits
@@ -61,81 +65,156 @@ def _words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _signatures(longs: int):
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for value in batch.column("text"):
+            text = value.as_py()
+            own = shingle_set(_words(text))
+            rows.append((np.uint64(fingerprint(text)).astype(np.int64), _set_hash(own), len(own)))
+        fp, total, n = zip(*rows, strict=True) if rows else ((), (), ())
+        arrays = [pa.array(fp, pa.int64()), pa.array(total, pa.int64()), pa.array(n, pa.int32())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *arrays], ["doc_id", "text_hash", "fp", "shingles", "n"])
+
+
+def _set_hash(own: np.ndarray) -> int:
+    total = int(_mix(own).sum(dtype=np.uint64)) if len(own) else 0
+    return total - (1 << 64) if total >> 63 else total
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, fp, shingles, n): fp as in simhash, shingles a hash of the set of shingles and n its size."""
+    rows = texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    return materialise(rows.mapInArrow(_signatures, "doc_id long, text_hash long, fp long, shingles long, n int"), "signatures")
+
+
+def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingle_set(_words(t.as_py())) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64))], ["h"])
+
+
+def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in order that come more than once in about SAMPLE of the n texts, the most frequent FREQUENT of them, and how often they do."""
+    rows = texts(docs).where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(max(1, n // SAMPLE))) == 0)
+    counted = rows.mapInArrow(_all_shingles, "h long").groupBy("h").count().where("count > 1")
+    got = counted.orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()
+    shingles, counts = got.column("h").to_numpy().view(np.uint64), got.column("count").to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], counts[order]
+
+
+def _prefixes(known: tuple[np.ndarray, np.ndarray], similarity: float):
+    """(shingles, n, prefix) of a text: of its n shingles, rare ones first, as many as must hold one of any set that has the similarity."""
+    shingles, counts = known
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            ids, sizes, prefixes = [], [], []
             for value in batch.column("text"):
-                text = value.as_py()
-                words = _words(text)
-                own = shingle_set(words)
-                total = int(_mix(own).sum(dtype=np.uint64)) if len(own) else 0
-                rows.append((np.uint64(fingerprint(text)).astype(np.int64), total - (1 << 64) if total >> 63 else total, len(own), signature(words, longs)))
-            fp, total, n, long = zip(*rows, strict=True) if rows else ((), (), (), ())
-            arrays = [pa.array(fp, pa.int64()), pa.array(total, pa.int64()), pa.array(n, pa.int32()), pa.array(long, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *arrays], ["doc_id", "text_hash", "fp", "shingles", "n", "signature"])
+                own = shingle_set(_words(value.as_py()))
+                n = len(own)
+                if not n:
+                    continue
+                if len(shingles):
+                    at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
+                    order = np.argsort(np.where(shingles[at] == own, counts[at], 0), kind="stable")
+                else:
+                    order = slice(None)
+                ids.append(_set_hash(own))
+                sizes.append(n)
+                prefixes.append(own[order][: n - math.ceil(similarity * n - 1e-6) + 1].view(np.int64))
+            arrays = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["shingles", "n", "prefix"])
 
     return run
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp, shingles, n, signature): fp as in simhash, shingles a hash of the set of shingles and n its size."""
-    longs = math.ceil(_SYMBOL * math.prod(plan(docs.count())) / 64)
-    rows = texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    return materialise(rows.mapInArrow(_signatures(longs), "doc_id long, text_hash long, fp long, shingles long, n int, signature array<long>"), "signatures")
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows in order of their first column, cut only between its values."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy() for c in batch.columns])
+        keys = held[-1][0]
+        if keys[-1] == held[0][0][0]:
+            continue  # all that is held is one bucket, which may go on
+        cut = int(np.searchsorted(keys, keys[-1]))
+        rest = [c[cut:] for c in held[-1]]
+        held[-1] = [c[:cut] for c in held[-1]]
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+        held = [rest]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _may(at: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets may have the similarity if a shared shingle is their first one in order: what is left of both must hold their common part.
+
+    at: size of the set and place of the shingle. The first shingle that two sets share always lets a pair of that similarity pass.
+    """
+    n, left = at >> 32, (at >> 32) - (at & 0xFFFFFFFF)
+    return np.minimum(left[a], left[b]) >= similarity / (1 + similarity) * (n[a] + n[b]) - 1e-6
+
+
+def _found(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
 
 
-def _keys(symbols: int, segments: int):
-    """A row per segment and left-out symbol: the number of both in the key's mix, so that keys of different places do not meet."""
-    schema = pa.schema([("key", pa.int64()), ("shingles", pa.int64())])
-    width = symbols * _SYMBOL
-    masks = np.array([((1 << width) - 1) ^ (((1 << _SYMBOL) - 1) << (_SYMBOL * i)) for i in range(symbols)], np.uint64)
+def _pairs(similarity: float, bucket: int):
+    """(a, b, key, at) of rows (key, at, shingles) in order of key and at: pairs a < b without a key, and with it a row a = b for each member of a crowded bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+        for keys, at, ids in _buckets(batches):
+            twin = keys[1:] == keys[:-1]
+            shared = np.append(twin, False) | np.insert(twin, 0, False)
+            keys, at, ids = keys[shared], at[shared], ids[shared]
+            if not len(keys):
                 continue
-            flat = batch.column("signature").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
-            flat = np.concatenate([flat, np.zeros((batch.num_rows, 1), np.uint64)], axis=1)
-            ids = batch.column("shingles").to_numpy()
-            for s in range(segments):
-                word, bit = divmod(s * width, 64)
-                part = flat[:, word] >> np.uint64(bit)
-                if bit:
-                    part = part | (flat[:, word + 1] << np.uint64(64 - bit))
-                place = np.arange(s * symbols, (s + 1) * symbols, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                key = _mix((part[:, None] & masks[None, :]) ^ _mix(place)[None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(ids, symbols))], schema=schema)
+            starts = np.flatnonzero(np.insert(keys[1:] != keys[:-1], 0, True))
+            sizes = np.diff(np.append(starts, len(keys)))
+            first, crowded = np.repeat(starts, sizes), np.repeat(sizes > bucket, sizes)
+            rows = np.arange(len(keys))
+            left, right = [], []
+            for back in range(1, min(bucket, int(sizes.max()))):
+                r = rows[(rows - back >= first) & (~crowded | (back == 1))]
+                left.append(r - back)
+                right.append(r)
+            for k in range(LEAST):
+                r = rows[crowded & (rows - 1 > first + k)]
+                left.append(first[r] + k)
+                right.append(r)
+            a, b = np.concatenate(left), np.concatenate(right)
+            ok = _may(at, a, b, similarity) & (ids[a] != ids[b])
+            a, b, nulls = ids[a[ok]], ids[b[ok]], pa.nulls(int(ok.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([*_found(a, b), nulls, nulls], ["a", "b", "key", "at"])
+            if crowded.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[crowded]) for x in (ids, ids, keys, at)], ["a", "b", "key", "at"])
 
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b), a < b, of rows in order of (key, shingles): holds the last BUCKET + LEAST rows of a bucket at most."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    key, size, recent, first = None, 0, [], []
-    for batch in batches:
-        keys, ids = batch.column("key").to_numpy(), batch.column("shingles").to_numpy()
-        left, right = [], []
-        # only rows that share their key with a neighbour, or with what was held back, are looked at one by one
-        twin = np.zeros(len(keys), bool)
-        twin[1:] = keys[1:] == keys[:-1]
-        alone = ~twin & ~np.append(twin[1:], False)
-        if len(keys):
-            alone[0] = alone[-1] = False
-        for k, i in zip(keys[~alone].tolist(), ids[~alone].tolist(), strict=True):
-            if k != key:
-                key, size, recent, first = k, 0, [], []
-            partners = recent if size < BUCKET else [*first, recent[-1]]
-            for p in dict.fromkeys(partners):
-                if p != i:
-                    left.append(p)
-                    right.append(i)
-            if size < LEAST:
-                first.append(i)
-            recent = [*recent[-BUCKET + 1 :], i]
-            size += 1
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=schema)
+def _across(similarity: float, most: int | None):
+    """(a, b), a < b, of rows (key, at, shingles, root) in order of key: all pairs of a bucket that have not the same root, or most for a member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, at, ids, roots in _buckets(batches):
+            starts = np.flatnonzero(np.insert(keys[1:] != keys[:-1], 0, True))
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+                _, number, sizes = np.unique(roots[start:end], return_inverse=True, return_counts=True)
+                if len(sizes) == 1:
+                    continue
+                rows, largest = np.arange(start, end), int(sizes.argmax())
+                for i in np.flatnonzero(number != largest).tolist():  # members of the largest class meet the others only
+                    b = rows[(number != number[i]) & ((number == largest) | (rows > start + i))]
+                    b = b[_may(at, np.full(len(b), start + i), b, similarity)]
+                    if most and len(b) > most:  # those of the least mix with the text's own hash: the same in all buckets
+                        b = b[np.argsort(_mix(ids[b].view(np.uint64) ^ ids[start + i : start + i + 1].view(np.uint64)))[:most]]
+                    if len(b):
+                        yield pa.RecordBatch.from_arrays(_found(np.full(len(b), ids[start + i]), ids[b]), ["a", "b"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,36 +239,44 @@ def _verified(similarity: float):
 def links(docs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): links between fingerprints (fp) of documents whose sets of shingles are equal or have the similarity.
 
-    prints: signatures(docs). Equal sets are one node each. Different ones meet where a segment of their signatures agrees but for one symbol; pairs whose
-    sizes or whole signatures rule the similarity out are dropped, and the others are verified on the sets themselves, read again from the text. A
-    bucket gives a bounded number of pairs for each member, so that a group of thousands of near copies costs each of them
-    a few comparisons; the recall against all pairs is measured in the tests. Texts without words are equal to each other only.
+    prints: signatures(docs). The links connect exactly what all such pairs connect. Equal sets are one node each. Shingles have one order, in which those
+    frequent in a sample come last; two sets of the similarity share one of the first in both, so they meet in a bucket of it, unless sizes
+    and places there rule them out. Buckets of up to BUCKET sets give all pairs. In larger ones a few links for each set come first, and then all pairs whose
+    sets these did not connect: a group of near copies costs each of them a few comparisons, and no pair is left out.
+    Pairs are verified on the sets themselves, read again from the text. Texts without words are equal to each other only.
     """
     spark = docs.sparkSession
     sets = materialise(
-        prints.where("n > 0").groupBy("shingles", "n").agg(F.min("fp").alias("fp"), F.max("fp").alias("last"), F.min(F.struct("text_hash", "doc_id", "signature")).alias("one"))
+        prints.where("n > 0").groupBy("shingles", "n").agg(F.min("fp").alias("fp"), F.max("fp").alias("last"), F.min(F.struct("text_hash", "doc_id")).alias("one"))
         .select("shingles", "n", "fp", "last", "one.*"), "sets",
     )
-    symbols, segments = plan(prints.count())
+    known = frequent(docs, prints.count())
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with batch_rows(spark, 20_000):
-        keys = sets.select("shingles", "signature").repartition(tasks, "shingles").mapInArrow(_keys(symbols, segments), "key long, shingles long")
-        met = keys.repartition(tasks, "key").sortWithinPartitions("key", "shingles").mapInArrow(_pairs, "a long, b long")
-        pairs = materialise(met.distinct(), "pairs")
-    side = sets.select("shingles", "n", "signature")
-    both = pairs.join(side.toDF("a", "n_a", "s_a"), "a").join(side.toDF("b", "n_b", "s_b"), "b")
-    bits = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    # the sets' sizes bound their similarity; no pair that has it differs in so many bits
-    likely = both.where((F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9) & (bits <= F.size("s_a") * 64 * 0.25)).select("a", "b")
-    likely = materialise(likely, "likely")
-    ids = likely.select(F.col("a").alias("shingles")).union(likely.select("b")).distinct()
+    prefixes = texts(docs).mapInArrow(_prefixes(known, similarity), "shingles long, n int, prefix array<long>").dropDuplicates(["shingles"])
+    keys = prefixes.select("shingles", "n", F.posexplode("prefix").alias("pos", "key")).select("key", F.expr("shiftleft(CAST(n AS LONG), 32) + pos").alias("at"), "shingles")
+    with batch_rows(spark, 50_000):
+        met = materialise(keys.repartition(tasks, "key").sortWithinPartitions("key", "at", "shingles").mapInArrow(_pairs(similarity, BUCKET), "a long, b long, key long, at long"), "met")
+    pairs = materialise(met.where("key IS NULL").select("a", "b").distinct(), "pairs")
+    ids = met.select(F.col("a").alias("shingles")).union(met.select("b")).distinct()
     wanted = materialise(sets.select("shingles", "text_hash", "doc_id").join(ids, "shingles", "left_semi"), "wanted").withColumnRenamed("text_hash", "_hash").withColumnRenamed("doc_id", "_id")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     rows = texts(docs).withColumn("text_hash", F.xxhash64("text"))
     hashes = rows.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("shingles", "text")
     hashes = materialise(hashes.mapInArrow(_sets, "shingles long, hashes array<long>"), "hashes").dropDuplicates(["shingles"])
-    compared = likely.join(hashes.toDF("a", "x"), "a").join(hashes.toDF("b", "y"), "b")
-    near = compared.mapInArrow(_verified(similarity), "a long, b long")
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        compared = candidates.join(hashes.toDF("a", "x"), "a").join(hashes.toDF("b", "y"), "b")
+        return materialise(compared.mapInArrow(_verified(similarity), "a long, b long"), "near")
+
+    near = verified(pairs)
+    crowded = met.where("key IS NOT NULL").select("key", "at", F.col("a").alias("shingles"))
+    for most in (*ROUNDS, None) if not crowded.isEmpty() else ():
+        roots = connected_components(near)
+        rooted = crowded.join(roots, F.col("shingles") == F.col("node"), "left").select("key", "at", "shingles", F.coalesce("root", "shingles").alias("root"))
+        with batch_rows(spark, 50_000):
+            others = rooted.repartition(tasks, "key").sortWithinPartitions("key", "at", "shingles").mapInArrow(_across(similarity, most), "a long, b long")
+            others = materialise(others.distinct().join(pairs, ["a", "b"], "left_anti"), "others")
+        pairs, near = pairs.union(others), near.union(verified(others))
     fps = sets.select("shingles", "fp")
     linked = near.join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
     # equal sets whose fingerprints differ, as their words come in another order or number
