@@ -1,11 +1,14 @@
 """Links at a shingle similarity against comparing all pairs."""
 
 import random
+from functools import cache
 
 import numpy as np
 import pytest
 from strandline.llm import similarity
+from strandline.llm.simhash import fingerprint
 
+FP = cache(fingerprint)
 SCHEMA = "doc_id long, text string, fp string, n string"
 
 
@@ -104,3 +107,66 @@ def test_signature_and_plan():
 def test_empty_table(spark):
     frame = spark.createDataFrame([], SCHEMA)
     assert similarity.links(frame, similarity.signatures(frame)).count() == 0
+
+
+def changed_blocks(seed, n):
+    """Texts with a copy of similarity 0.80 to 0.85 each: words appended, cut from an end or replaced in one block."""
+    rng = random.Random(seed)
+    docs = {}
+    for i in range(n):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([150, 200, 400]))]
+        kind, share = i % 3, rng.uniform(0.19, 0.24)
+        if kind == 0:
+            copy = base + [f"y{rng.randrange(5000)}" for _ in range(int(len(base) * share))]
+        elif kind == 1:
+            copy = base[int(len(base) * share / (1 + share)) :]
+        else:
+            k = int(len(base) * share / 2.3)
+            copy = base[:40] + [f"y{rng.randrange(5000)}" for _ in range(k)] + base[40 + k :]
+        docs |= {2 * i: " ".join(base), 2 * i + 1: " ".join(copy)}
+    return docs
+
+
+def test_block_changes_at_the_threshold_are_all_found(spark):
+    docs = changed_blocks(5, 300)
+    sets = {i: shingles(t) for i, t in docs.items()}
+    near = [i for i in range(0, 600, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    got = classes(spark, docs)
+    assert len(near) > 200 and all(got[i] == got[i + 1] for i in near)
+    assert len(set(got.values())) == 600 - len(near)
+
+
+def test_copies_among_many_texts_of_one_template(spark):
+    """Each text shares a template with all others, which is short of the similarity, and has one true copy at most."""
+    rng = random.Random(8)
+    template, docs = [f"t{i}" for i in range(170)], {}
+    for i in range(400):
+        own = [f"v{i}x{j}" for j in range(34)]
+        copy = list(own)
+        copy[2:12] = [f"c{i}x{j}" for j in range(10)]
+        docs |= {2 * i: " ".join(template + own), 2 * i + 1: " ".join(template + copy)}
+    rng.shuffle(order := list(docs))
+    docs = {k: docs[i] for k, i in enumerate(order)}
+    assert classes_alike(classes(spark, docs), brute_near(docs, one_print))
+
+
+def one_print(x, y):
+    return FP(x) == FP(y)  # links() connects fingerprints, so texts that share one are a class
+
+
+def classes_alike(got, want):
+    return len(set(got.values())) == len(set(want.values())) == len({(got[i], want[i]) for i in want})
+
+
+def test_crowded_buckets_give_the_classes_of_all_pairs(spark):
+    """Large groups around several centres, whose members are similar to some of the group only."""
+    rng = random.Random(9)
+    docs = {}
+    for g in range(4):
+        base = [f"g{g}w{rng.randrange(3000)}" for _ in range(120)]
+        for i in range(120):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                copy[rng.randrange(120)] = f"g{g}x{rng.randrange(40)}"
+            docs[len(docs)] = " ".join(copy)
+    assert classes_alike(classes(spark, docs), brute_near(docs, one_print))
