@@ -33,9 +33,9 @@ def line_total(line) -> F.Column:
     return F.aggregate(F.regexp_extract_all(line, F.lit(r"(\d+)"), F.lit(1)), F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
 
 
-def running_before(rows: DataFrame, order: str = "position", value: str = "count", by: tuple[str, ...] = ("div",)) -> DataFrame:
-    """The rows with the total of those before each, as the tally listing prints it, beside the row's own value."""
-    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def running_before(rows: DataFrame, order: str | tuple[str, ...] = "position", value: str = "count", by: tuple[str, ...] = ("div",)) -> DataFrame:
+    """The rows with the total of those before each, as the tally listing prints it, beside the row's own value; several columns of order settle ties."""
+    before = Window.partitionBy(*by).orderBy(*([order] if isinstance(order, str) else order)).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("running_before", F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long"))
 
 

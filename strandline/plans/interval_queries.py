@@ -200,7 +200,7 @@ def _quantities(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     rows = _quantities(t)
     once = rows.join(rows.groupBy("id", "position").count().where("count = 1").drop("count"), ["id", "position"])
-    return coverage.running_before(once, by=("id",)).select("id", "position", "div", "count", "running_before")
+    return coverage.running_before(once, ("position", "div", "count"), by=("id",)).select("id", "position", "div", "count", "running_before")
 
 
 @query("tally_stats", f"SELECT div, CAST(sum(count) AS BIGINT) AS counts, CAST(3 AS BIGINT) AS width, sum(count) / 3 AS mean FROM ({_QUANTITY}) WHERE position BETWEEN 2 AND 4 GROUP BY div")

@@ -220,3 +220,9 @@ def test_fetch_and_contigs(spark):
     assert got == {1: seq[59:200], 2: seq[:64][::-1].translate(str.maketrans("ACGT", "TGCA")), 3: None, 4: None}
     contigs = spark.createDataFrame([(0, "k1", "chr1:101..150", 50), (1, "k2", "Homo chromosome 3, part", 10), (2, "k3", "chromosome 3", 5), (3, "k4", None, 7), (4, "k1", "twice", 9)], "ord int, acc string, rest string, length long")
     assert {tuple(r) for r in genome.assign_contigs(contigs).collect()} == {("k1", "chr1", 101, 150), ("k2", "3", 1, 10), ("k3", "3", 11, 15), ("k4", "k4", 1, 7)}
+
+
+def test_running_totals_with_ties_in_position(spark):
+    rows = spark.createDataFrame([(1, 2, "b", 5), (1, 2, "a", 7), (1, 1, "c", 3), (1, 2, "a", 4)], "id long, position long, div string, count long")
+    got = coverage.running_before(rows, ("position", "div", "count"), by=("id",)).orderBy("running_before").collect()
+    assert [(r.div, r["count"], r.running_before) for r in got] == [("c", 3, 0), ("a", 4, 3), ("a", 7, 7), ("b", 5, 14)]
