@@ -97,12 +97,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates with letters and digits that the random model explains better and no base span touches."""
+    """Candidates with letters and digits that the random model explains better; of one that base spans touch, the parts of 16 characters and more beside them."""
     pair, found = models(), []
     for m in CANDIDATE.finditer(text):
-        s = m.group()
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not any(a < m.end() and m.start() < b for a, _, b in taken) and pair.score(s) > pair.threshold:
-            found.append((m.start(), 3, m.end()))
+        at, parts = m.start(), []
+        for a, _, b in sorted(taken):
+            if a < m.end() and at < b:
+                parts.append((at, a))
+                at = b
+        for a, b in [*parts, (at, m.end())]:
+            s = text[a:b]
+            if b - a >= 16 and any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and pair.score(s) > pair.threshold:
+                found.append((a, 3, b))
     return found
 
 
