@@ -15,10 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import materialise, table, texts
 
-#: Labelled rows that a model is fitted on at most (those with the least hash of doc_id), terms of its lexicon at most,
-#: and the words of a text that its terms are gathered from (scores use whole texts).
+#: Labelled rows that a model is fitted on at most (those with the least hash of doc_id), and terms of its lexicon at most.
 LABELLED_ROWS, TERMS = 12_000, 4_000
 PREFIXES = range(4, 11)
 MIN_TOXIC = 4
@@ -139,7 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
     The sample is at most LABELLED_ROWS labels, chosen by a hash of doc_id; only their texts are read into the model, through a
     join with that bounded list. Terms are counted in Spark; what reaches the driver is the terms with evidence and six
-    figures a sampled row. Null labels, and labels without a document, are passed over. Without labels of both
+    figures a sampled row. The coefficients are cross-fitted: the terms of each half of the sample give the figures of the other half; the terms
+    returned are those of the whole sample. Null labels, and labels without a document, are passed over. Without labels of both
     kinds the seed terms and default coefficients stand.
     """
     spark = docs.sparkSession
@@ -149,31 +149,37 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     )
     known = spark.createDataFrame([tuple(r) for r in sample.collect()], "doc_id long, toxic int")
     rows = texts(docs).join(F.broadcast(known), "doc_id")
-    half = rows.where(F.xxhash64("doc_id", F.lit(1)) % 2 == 0)  # terms from one half, coefficients from the other: a term found by chance gets no credit for it
-    n = {r.toxic: r["count"] for r in half.groupBy("toxic").count().collect()}
-    if len(n) < 2:
+    rows = rows.withColumn("half", (F.xxhash64("doc_id", F.lit(1)) % 2 == 0).cast("int"))
+    n = {(r.half, r.toxic): r["count"] for r in rows.groupBy("half", "toxic").count().collect()}
+    if len({toxic for _, toxic in n}) < 2:
         return Lexicon({t: 3.0 for t in SEED_TERMS})
+    grams = [rows.where(F.col("half") == h).select("text", "toxic").mapInArrow(_grams, "term string, clean long, toxic long").withColumn("half", F.lit(h)) for h in (0, 1)]
+    kinds = [F.sum(F.when(F.col("half") == h, F.col(kind)).otherwise(0)).alias(f"{kind}{h}") for h in (0, 1) for kind in ("clean", "toxic")]
+    counted = materialise(grams[0].union(grams[1]).groupBy("term").agg(*kinds).where(F.col("toxic0") + F.col("toxic1") >= MIN_TOXIC), "terms")
 
-    def terms_of(part: DataFrame) -> list:
-        grams = part.select("text", "toxic").mapInArrow(_grams, "term string, clean long, toxic long")
-        counted = grams.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        sure = F.log((F.col("toxic") + 0.5) / F.lit(n[1] + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n[0] + 1.0)) > 2
-        return counted.where((F.col("toxic") >= MIN_TOXIC) & sure).orderBy(F.desc("toxic"), "term").limit(8 * TERMS).collect()
+    def lexicon_of(*halves: int) -> Lexicon:
+        n_clean, n_toxic = (sum(n.get((h, kind), 0) for h in halves) for kind in (0, 1))
+        both = counted.select("term", *(sum(F.col(f"{kind}{h}") for h in halves).alias(kind) for kind in ("clean", "toxic")))
+        sure = F.log((F.col("toxic") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n_clean + 1.0)) > 2
+        found = both.where((F.col("toxic") >= MIN_TOXIC) & sure).orderBy(F.desc("toxic"), "term").limit(8 * TERMS).collect()
+        return Lexicon(_chosen(found, n_clean, n_toxic))
 
-    draft = Lexicon(_chosen(terms_of(half), n[0], n[1]))
+    # figures of a half come from the terms of the other: a term found by chance gets no credit for it
+    drafts = {1 - h: lexicon_of(h) for h in (0, 1) if (h, 0) in n and (h, 1) in n}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([draft.features(t.as_py()) for t in batch.column("text")], pa.list_(pa.float64())), batch.column("toxic")], ["x", "toxic"])
+            found = [drafts[h.as_py()].features(t.as_py()) for t, h in zip(batch.column("text"), batch.column("half"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column("toxic")], ["x", "toxic"])
 
-    other = rows.where(F.xxhash64("doc_id", F.lit(1)) % 2 != 0).select("text", "toxic")
-    got = other.mapInArrow(features, "x array<double>, toxic int").collect()
+    final = lexicon_of(0, 1)
+    got = rows.where(F.col("half").isin(*drafts)).select("text", "toxic", "half").mapInArrow(features, "x array<double>, toxic int").collect() if drafts else []
     x, y = np.array([r.x for r in got]).reshape(-1, 6), np.array([r.toxic for r in got], float)
     if len(set(y.tolist())) < 2:
-        return draft
+        return final
     means, scales = x.mean(axis=0), x.std(axis=0) + 1e-9
     w, b = _logistic((x - means) / scales, y)
-    return Lexicon(draft.weights, means=tuple(means), scales=tuple(scales), coefficients=tuple(w), intercept=b)
+    return Lexicon(final.weights, means=tuple(means), scales=tuple(scales), coefficients=tuple(w), intercept=b)
 
 
 _MODELS: dict[str, Lexicon] = {}

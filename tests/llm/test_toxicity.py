@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from strandline.llm import toxicity
 
 DOCS, LABELS = "doc_id long, text string, _score string, toxic string", "doc_id long, toxic int, text string"
@@ -68,3 +69,19 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert len(rows) == 205 and all(r.score is not None and r.held_out is not None for r in rows)
     assert toxicity.scored(d.limit(0), l).count() == 0
     assert toxicity.scored(d, l.limit(0)).count() == 205
+
+
+def test_terms_come_from_both_halves_of_the_sample(spark):
+    """A toxic word that only one half has often enough gets its weight, whichever half it is."""
+    frame = spark.range(1200).select(F.col("id").alias("doc_id"))
+    frame = frame.where(~toxicity.held_out()).select("doc_id", (F.xxhash64("doc_id", F.lit(1)) % 2 == 0).alias("half"))
+    rows, labels, seen = [], [], {True: 0, False: 0}
+    for r in sorted(frame.collect()):
+        seen[r.half] += 1
+        toxic = int(seen[r.half] % 5 == 0)
+        word = ("grubworm" if r.half else "zanderlout") if toxic else "meadow"
+        rows.append((r.doc_id, f"you {'vilefiend' if toxic else 'kindly'} {word} walk to the river"))
+        labels.append((r.doc_id, toxic))
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    for word in ("grubworm", "zanderlout"):
+        assert any(word.startswith(t.rstrip("$")) for t in lexicon.weights)
