@@ -44,14 +44,29 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def rows_with_keys(docs: DataFrame) -> DataFrame:
+    """(row, id, key): each document as one struct, so that no column name of the caller's clashes, its id and a hash of its text (null as empty)."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+
+
+def unused_name(docs: DataFrame, name: str) -> str:
+    """name, with underscores behind it until docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where that is unset and all run on one machine (tests)."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        sc.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strandline-"))
+        folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
 
@@ -76,8 +91,3 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs before the next large shuffle starts."""
-    spark.sparkContext._jvm.System.gc()

@@ -9,9 +9,12 @@ from .common import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a node to the least of the node and its neighbours."""
+    """Link every larger neighbour of a node to the least of the node and its neighbours.
+
+    The minima are written first, so both sides of the join are plain exchanges and adaptive execution can split a hub's edges.
+    """
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, texts
+from .common import materialise, rows_with_keys, table, texts
 from .licenses import words_of
 
 #: Words of a shingle, and the share of an item's distinct shingles that a document must hold.
@@ -83,8 +83,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, c
     for w, (n, sketch) in sorted(sizes.items()):  # one width, unless items are shorter than a shingle
         of_width = items.where(F.col("width") == w)
         hits = materialise(_candidates(docs, _small(of_width.where("in_sketch").select("h", "size_class").distinct(), sketch), w), "candidates")
-        keys = hits.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-        rows = docs.join(_small(keys, keys.count()), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_semi")
+        keys = hits.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"))
+        rows = docs.join(_small(keys, keys.count()), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_hash")), "left_semi")
         part = _shared(rows, _small(of_width.select("item_id", "item", "n_item", "need", "shingle"), n), w)
         found = part if found is None else found.union(part)
     if found is None:
@@ -96,9 +96,9 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, c
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, columns and all."""
-    found = materialise(contained_items(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
-    return docs.join(_small(found, found.count()), same, "left_anti")
+    found = materialise(contained_items(docs, benchmark).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct(), "contaminated")
+    same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_hash"))
+    return rows_with_keys(docs).join(_small(found, found.count()), same, "left_anti").select("row.*")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

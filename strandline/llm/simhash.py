@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, free_shuffles, materialise, table, texts
+from .common import batch_rows, materialise, rows_with_keys, table, texts
 from .components import connected_components
 
 SEED = 42
@@ -20,9 +20,9 @@ BUCKET = 32
 _LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprint(text: str, width: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+def fingerprint(text: str | list[bytes], width: int = 3) -> int:
+    """The 64-bit SimHash of the word shingles of a text (or of its lower-case words), repeats included; 0 without words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else text
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
@@ -140,7 +140,6 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = materialise(rooted.join(named, "root").select("fp", "component_id"), "classes")
-    free_shuffles(spark)
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -153,16 +152,15 @@ def representatives(docs: DataFrame) -> DataFrame:
     """
     from . import similarity
 
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = rows_with_keys(docs)
     prints = similarity.signatures(docs)
     nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("least"))
     roots = connected_components(links(nodes).union(similarity.links(docs, prints)))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("least", F.coalesce("root", "fp").alias("root"))
-    stay = materialise(rooted.groupBy("root").agg(F.min("least").alias("x")).select(F.col("x.doc_id").alias("_stay"), F.col("x.text_hash").alias("_hash")), "representatives")
-    free_shuffles(docs.sparkSession)
-    kept = keyed.join(stay, F.col("_id").eqNullSafe(F.col("_stay")) & (F.col("_key") == F.col("_hash")), "left_semi")
-    one = Window.partitionBy("_id", "_key").orderBy(F.lit(1))  # equal rows
-    return kept.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(*docs.columns)
+    stay = materialise(rooted.groupBy("root").agg(F.min("least").alias("x")).select(F.col("x.doc_id").alias("stay"), F.col("x.text_hash").alias("hash")), "representatives")
+    kept = keyed.join(stay, F.col("id").eqNullSafe(F.col("stay")) & (F.col("key") == F.col("hash")), "left_semi")
+    one = Window.partitionBy("id", "key").orderBy(F.lit(1))  # equal rows
+    return kept.withColumn("at", F.row_number().over(one)).where("at = 1").select("row.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_rows, materialise, texts
 from .components import connected_components
-from .simhash import _LANES, fingerprint
+from .simhash import fingerprint
 from .substrings import _hashes, _mix, _runs
 
 #: Words of a shingle, and the least Jaccard similarity of two texts' sets of shingles.
@@ -20,25 +20,12 @@ WIDTH, SIMILARITY = 5, 0.8
 #: Texts whose shingles are counted to tell the frequent ones, and how many of these are kept. They set the order of the prefixes, not the result.
 SAMPLE, FREQUENT = 10_000, 200_000
 #: Buckets of up to this size give all their pairs at once; of larger ones each text first meets the LEAST first texts and the one before
-#: it, then in two rounds so many of those that are not linked to it by then, and at last all that are not.
-BUCKET, LEAST, ROUNDS = 16, 3, (8, 16)
-#: plan() and signature() are no longer used by links(). Share of signature bits in which texts of that similarity differ when single words were changed, and how surely such a pair must meet.
-DIFFERENT, SURE = 0.095, 0.997
+#: it, then FIRST of those that are not linked to it by then, and at last all that are not.
+BUCKET, LEAST, FIRST = 16, 3, 8
+#: Rows of a bucket that a task holds at a time, and bits of a sketch at most.
+BLOCK, SKETCH_BITS = 20_000, 1 << 14
 #: Documents of candidate pairs up to which their keys are broadcast.
 BROADCAST_ROWS = 200_000
-_SYMBOL = 4  # bits
-
-
-def plan(n: int) -> tuple[int, int]:
-    """(symbols of a segment, segments) for n texts.
-
-    Two texts become candidates if a segment of their signatures differs in one symbol of four bits at most. A key of all but one symbol
-    has bits enough for n texts to spread out; the number of segments makes up for what so long a segment misses.
-    """
-    symbols = max(7, math.ceil((math.log2(max(n, 2)) + 6) / _SYMBOL) + 1)
-    q = 1 - (1 - DIFFERENT) ** _SYMBOL
-    meets = (1 - q) ** symbols + symbols * q * (1 - q) ** (symbols - 1)
-    return symbols, math.ceil(math.log(1 - SURE) / math.log(1 - meets))
 
 
 def shingle_set(words: list[bytes], width: int = WIDTH) -> np.ndarray:
@@ -47,45 +34,63 @@ def shingle_set(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     return np.unique(_runs(h, min(width, len(h)))) if len(h) else h
 
 
-def signature(words: list[bytes], longs: int) -> np.ndarray:
-    """64 * longs SimHash bits of the distinct pairs of words: a bit is 1 if it is set in over half of their hashes."""
-    base = shingle_set(words, 2)
-    if not len(base):
-        return np.zeros(longs, np.int64)
-    h = _mix(base[None, :] + (np.arange(1, longs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None])
-    counts, starts = np.empty((longs, 8, 8), np.int64), np.arange(0, len(base), 255)
-    for i in range(8):  # a byte of a lane counts one bit of up to 255 hashes
-        lanes = np.add.reduceat((h >> np.uint64(i)) & _LANES, starts, axis=1)
-        counts[:, :, i] = lanes.view(np.uint8).reshape(longs, -1, 8).sum(axis=1, dtype=np.int64)
-    bits = counts.reshape(longs, 64) * 2 > len(base)
-    return np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
+def sketch(own: np.ndarray) -> bytes:
+    """Parities of a set's hashes by their value modulo a power of two about the size of the set.
+
+    Two sketches differ in at most as many bits as the sets differ in members; a longer one is folded to the length of a shorter one.
+    """
+    bits = min(SKETCH_BITS, max(64, 1 << (len(own) - 1).bit_length()))
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def _words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for value in batch.column("text"):
-            text = value.as_py()
-            own = shingle_set(_words(text))
-            rows.append((np.uint64(fingerprint(text)).astype(np.int64), _set_hash(own), len(own)))
-        fp, total, n = zip(*rows, strict=True) if rows else ((), (), ())
-        arrays = [pa.array(fp, pa.int64()), pa.array(total, pa.int64()), pa.array(n, pa.int32())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *arrays], ["doc_id", "text_hash", "fp", "shingles", "n"])
-
-
 def _set_hash(own: np.ndarray) -> int:
     total = int(_mix(own).sum(dtype=np.uint64)) if len(own) else 0
     return total - (1 << 64) if total >> 63 else total
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp, shingles, n): fp as in simhash, shingles a hash of the set of shingles and n its size."""
+def _prefix(own: np.ndarray, known: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Of a set's shingles, rare ones first, as many as must hold one of any set that has the similarity."""
+    shingles, counts = known
+    if len(shingles):
+        at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
+        own = own[np.argsort(np.where(shingles[at] == own, counts[at], 0), kind="stable")]
+    return own[: len(own) - math.ceil(similarity * len(own) - 1e-6) + 1]
+
+
+_PRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("shingles", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())])
+
+
+def _signatures(known: tuple[np.ndarray, np.ndarray], similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for value in batch.column("text"):
+                words = _words(value.as_py())
+                own = shingle_set(words)
+                fp = int(np.uint64(fingerprint(words)).astype(np.int64))
+                rows.append((fp, _set_hash(own), len(own), _prefix(own, known, similarity).view(np.int64), sketch(own)) if len(own) else (fp, 0, 0, [], b""))
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            arrays = [pa.array(x, f.type) for x, f in zip(columns, list(_PRINTS)[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *arrays], schema=_PRINTS)
+
+    return run
+
+
+def signatures(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text_hash, fp, shingles, n, prefix, sketch) of each document, in one pass over the texts.
+
+    fp: as in simhash. shingles: a hash of the set of shingles, n its size, prefix the members under which it is looked for (see links()), and
+    sketch what rules out most sets that are not similar. Texts without words have n = 0.
+    """
     rows = texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    return materialise(rows.mapInArrow(_signatures, "doc_id long, text_hash long, fp long, shingles long, n int"), "signatures")
+    known = frequent(docs, docs.count())
+    kind = "doc_id long, text_hash long, fp long, shingles long, n int, prefix array<long>, sketch binary"
+    return materialise(rows.mapInArrow(_signatures(known, similarity), kind), "signatures")
 
 
 def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,49 +109,31 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles[order], counts[order]
 
 
-def _prefixes(known: tuple[np.ndarray, np.ndarray], similarity: float):
-    """(shingles, n, prefix) of a text: of its n shingles, rare ones first, as many as must hold one of any set that has the similarity."""
-    shingles, counts = known
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes, prefixes = [], [], []
-            for value in batch.column("text"):
-                own = shingle_set(_words(value.as_py()))
-                n = len(own)
-                if not n:
-                    continue
-                if len(shingles):
-                    at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
-                    order = np.argsort(np.where(shingles[at] == own, counts[at], 0), kind="stable")
-                else:
-                    order = slice(None)
-                ids.append(_set_hash(own))
-                sizes.append(n)
-                prefixes.append(own[order][: n - math.ceil(similarity * n - 1e-6) + 1].view(np.int64))
-            arrays = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["shingles", "n", "prefix"])
-
-    return run
-
+def _buckets(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[list[np.ndarray]]:
+    """The columns of rows in order of their first column, cut only between its values.
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of rows in order of their first column, cut only between its values."""
+    With most, the rows of one value also come in parts of about so many; each further part starts with the LEAST first rows and the last one before it.
+    """
     held: list[list[np.ndarray]] = []
+    whole = lambda: [np.concatenate(c) for c in zip(*held, strict=True)]
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append([c.to_numpy() for c in batch.columns])
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
         keys = held[-1][0]
-        if keys[-1] == held[0][0][0]:
-            continue  # all that is held is one bucket, which may go on
+        if keys[-1] == held[0][0][0]:  # all that is held is one bucket, which may go on
+            if most and sum(len(x[0]) for x in held) > most:
+                part = whole()
+                yield part
+                held = [[np.concatenate([c[:LEAST], c[-1:]]) for c in part]]
+            continue
         cut = int(np.searchsorted(keys, keys[-1]))
         rest = [c[cut:] for c in held[-1]]
         held[-1] = [c[:cut] for c in held[-1]]
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+        yield whole()
         held = [rest]
     if held:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+        yield whole()
 
 
 def _may(at: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
@@ -166,7 +153,7 @@ def _pairs(similarity: float, bucket: int):
     """(a, b, key, at) of rows (key, at, shingles) in order of key and at: pairs a < b without a key, and with it a row a = b for each member of a crowded bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, at, ids in _buckets(batches):
+        for keys, at, ids in _buckets(batches, BLOCK):
             twin = keys[1:] == keys[:-1]
             shared = np.append(twin, False) | np.insert(twin, 0, False)
             keys, at, ids = keys[shared], at[shared], ids[shared]
@@ -195,24 +182,76 @@ def _pairs(similarity: float, bucket: int):
     return run
 
 
+class _Sketches:
+    """The sketches of a bucket's rows, by length, and folded to shorter ones where asked for."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.size = np.array([len(v) for v in values])
+        self.place = np.empty(len(values), np.int64)
+        self.own: dict[tuple[int, int], np.ndarray] = {}
+        for size in np.unique(self.size).tolist():
+            rows = np.flatnonzero(self.size == size)
+            self.place[rows] = np.arange(len(rows))
+            self.own[size, size] = np.frombuffer(b"".join(values[rows]), np.uint64).reshape(-1, size // 8)
+
+    def _folded(self, size: int, to: int) -> np.ndarray:
+        if (size, to) not in self.own:
+            wide = self._folded(size, 2 * to)
+            self.own[size, to] = wide[:, : to // 8] ^ wide[:, to // 8 :]
+        return self.own[size, to]
+
+    def differ(self, i: int, rows: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of rows differ from that of row i."""
+        out, own = np.empty(len(rows), np.int64), int(self.size[i])
+        for size in np.unique(self.size[rows]).tolist():
+            to, some = min(size, own), self.size[rows] == size
+            both = self._folded(size, to)[self.place[rows[some]]] ^ self._folded(own, to)[self.place[i]]
+            out[some] = np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _across(similarity: float, most: int | None):
-    """(a, b), a < b, of rows (key, at, shingles, root) in order of key: all pairs of a bucket that have not the same root, or most for a member."""
+    """(a, b), a < b, of rows (unit, at, shingles, root, side, sketch) in order of unit and at: all pairs of a unit that have not the same root and
+    may have the similarity, or most for a member. In a unit of two sides only pairs across them count."""
+    differ = (1 - similarity) / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, at, ids, roots in _buckets(batches):
-            starts = np.flatnonzero(np.insert(keys[1:] != keys[:-1], 0, True))
-            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+        for units, at, ids, roots, sides, prints in _buckets(batches):
+            starts = np.flatnonzero(np.insert(units[1:] != units[:-1], 0, True))
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(units)], strict=True):
                 _, number, sizes = np.unique(roots[start:end], return_inverse=True, return_counts=True)
                 if len(sizes) == 1:
                     continue
-                rows, largest = np.arange(start, end), int(sizes.argmax())
+                here, own, side, largest = at[start:end], ids[start:end], sides[start:end], int(sizes.argmax())
+                n, marks, two, left, right = here >> 32, _Sketches(prints[start:end]), side.min() != side.max(), [], []
                 for i in np.flatnonzero(number != largest).tolist():  # members of the largest class meet the others only
-                    b = rows[(number != number[i]) & ((number == largest) | (rows > start + i))]
-                    b = b[_may(at, np.full(len(b), start + i), b, similarity)]
+                    low, high = np.searchsorted(n, [similarity * n[i] - 1e-6, n[i] / similarity + 1e-6])
+                    b = np.arange(low, high)
+                    b = b[(number[b] != number[i]) & ((number[b] == largest) | (b > i)) & (not two or side[b] != side[i])]
+                    b = b[_may(here, np.full(len(b), i), b, similarity)]
+                    b = b[marks.differ(i, b) <= differ * (n[b] + n[i]) + 1e-6]
                     if most and len(b) > most:  # those of the least mix with the text's own hash: the same in all buckets
-                        b = b[np.argsort(_mix(ids[b].view(np.uint64) ^ ids[start + i : start + i + 1].view(np.uint64)))[:most]]
-                    if len(b):
-                        yield pa.RecordBatch.from_arrays(_found(np.full(len(b), ids[start + i]), ids[b]), ["a", "b"])
+                        b = b[np.argsort(_mix(own[b].view(np.uint64) ^ own[i : i + 1].view(np.uint64)))[:most]]
+                    left.append(np.full(len(b), own[i]))
+                    right.append(own[b])
+                yield pa.RecordBatch.from_arrays(_found(np.concatenate(left), np.concatenate(right)), ["a", "b"])
+
+    return run
+
+
+def _alike(similarity: float):
+    """(a, b) of rows (a, b, na, sa, nb, sb) whose sketches do not rule the pair out."""
+    differ = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            rows = batch.num_rows
+            marks = _Sketches(np.concatenate([columns["sa"], columns["sb"]]))
+            near = np.fromiter((marks.differ(i, np.array([i + rows]))[0] for i in range(rows)), np.int64, rows) <= differ * (columns["na"].astype(np.int64) + columns["nb"]) + 1e-6
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("a", "b")], ["a", "b"])
 
     return run
 
@@ -236,13 +275,27 @@ def _verified(similarity: float):
     return run
 
 
+def _units(crowded: DataFrame, roots: DataFrame, prints: DataFrame) -> DataFrame:
+    """(unit, at, shingles, root, side, sketch): the crowded buckets whose sets have more than one root, those of over BLOCK rows in pairs of blocks.
+
+    A set's block comes from its hash; each row goes to the pairs its block is part of, so no task holds more than two blocks.
+    """
+    rooted = crowded.join(roots, F.col("shingles") == F.col("node"), "left").select("key", "at", "shingles", F.coalesce("root", "shingles").alias("root"))
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("size")).where("r1 <> r2")
+    sizes = materialise(open_keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open")
+    rows = rooted.join(sizes, "key").withColumn("side", F.pmod(F.xxhash64("shingles"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    unit = F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("unit")
+    return rows.join(prints, "shingles").select(unit, "at", "shingles", "root", "side", "sketch")
+
+
 def links(docs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): links between fingerprints (fp) of documents whose sets of shingles are equal or have the similarity.
 
     prints: signatures(docs). The links connect exactly what all such pairs connect. Equal sets are one node each. Shingles have one order, in which those
     frequent in a sample come last; two sets of the similarity share one of the first in both, so they meet in a bucket of it, unless sizes
     and places there rule them out. Buckets of up to BUCKET sets give all pairs. In larger ones a few links for each set come first, and then all pairs whose
-    sets these did not connect: a group of near copies costs each of them a few comparisons, and no pair is left out.
+    sets these did not connect and whose sketches do not rule them out: a group of near copies costs each of them a few comparisons, and no pair is left out.
     Pairs are verified on the sets themselves, read again from the text. Texts without words are equal to each other only.
     """
     spark = docs.sparkSession
@@ -250,31 +303,33 @@ def links(docs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY) ->
         prints.where("n > 0").groupBy("shingles", "n").agg(F.min("fp").alias("fp"), F.max("fp").alias("last"), F.min(F.struct("text_hash", "doc_id")).alias("one"))
         .select("shingles", "n", "fp", "last", "one.*"), "sets",
     )
-    known = frequent(docs, prints.count())
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prefixes = texts(docs).mapInArrow(_prefixes(known, similarity), "shingles long, n int, prefix array<long>").dropDuplicates(["shingles"])
+    prefixes = prints.where("n > 0").select("shingles", "n", "prefix").dropDuplicates(["shingles"])
     keys = prefixes.select("shingles", "n", F.posexplode("prefix").alias("pos", "key")).select("key", F.expr("shiftleft(CAST(n AS LONG), 32) + pos").alias("at"), "shingles")
-    with batch_rows(spark, 50_000):
+    with batch_rows(spark, 20_000):
         met = materialise(keys.repartition(tasks, "key").sortWithinPartitions("key", "at", "shingles").mapInArrow(_pairs(similarity, BUCKET), "a long, b long, key long, at long"), "met")
     pairs = materialise(met.where("key IS NULL").select("a", "b").distinct(), "pairs")
-    ids = met.select(F.col("a").alias("shingles")).union(met.select("b")).distinct()
-    wanted = materialise(sets.select("shingles", "text_hash", "doc_id").join(ids, "shingles", "left_semi"), "wanted").withColumnRenamed("text_hash", "_hash").withColumnRenamed("doc_id", "_id")
+    crowded = met.where("key IS NOT NULL").select("key", "at", F.col("a").alias("shingles"))
+    ids = pairs.select(F.col("a").alias("shingles")).union(pairs.select("b")).union(crowded.select("shingles")).distinct()
+    marks = materialise(prints.where("n > 0").select("shingles", "n", "sketch").join(ids, "shingles", "left_semi").dropDuplicates(["shingles"]), "sketches")
+    both = pairs.join(marks.toDF("a", "na", "sa"), "a").join(marks.toDF("b", "nb", "sb"), "b")
+    alike = materialise(both.mapInArrow(_alike(similarity), "a long, b long"), "alike")
+    ids = alike.select(F.col("a").alias("shingles")).union(alike.select("b")).union(crowded.select("shingles")).distinct()
+    wanted = materialise(sets.select("shingles", F.col("text_hash").alias("wanted_hash"), F.col("doc_id").alias("wanted_id")).join(ids, "shingles", "left_semi"), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     rows = texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    hashes = rows.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("shingles", "text")
-    hashes = materialise(hashes.mapInArrow(_sets, "shingles long, hashes array<long>"), "hashes").dropDuplicates(["shingles"])
+    hashes = rows.join(wanted, (F.col("text_hash") == F.col("wanted_hash")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("shingles", "text")
+    hashes = materialise(hashes.mapInArrow(_sets, "shingles long, hashes array<long>").dropDuplicates(["shingles"]), "hashes")
 
     def verified(candidates: DataFrame) -> DataFrame:
         compared = candidates.join(hashes.toDF("a", "x"), "a").join(hashes.toDF("b", "y"), "b")
         return materialise(compared.mapInArrow(_verified(similarity), "a long, b long"), "near")
 
-    near = verified(pairs)
-    crowded = met.where("key IS NOT NULL").select("key", "at", F.col("a").alias("shingles"))
-    for most in (*ROUNDS, None) if not crowded.isEmpty() else ():
-        roots = connected_components(near)
-        rooted = crowded.join(roots, F.col("shingles") == F.col("node"), "left").select("key", "at", "shingles", F.coalesce("root", "shingles").alias("root"))
-        with batch_rows(spark, 50_000):
-            others = rooted.repartition(tasks, "key").sortWithinPartitions("key", "at", "shingles").mapInArrow(_across(similarity, most), "a long, b long")
+    near = verified(alike)
+    for most in (FIRST, None) if not crowded.isEmpty() else ():
+        units = _units(crowded, connected_components(near), marks)
+        with batch_rows(spark, 5_000):
+            others = units.repartition(tasks, "unit").sortWithinPartitions("unit", "at", "shingles").mapInArrow(_across(similarity, most), "a long, b long")
             others = materialise(others.distinct().join(pairs, ["a", "b"], "left_anti"), "others")
         pairs, near = pairs.union(others), near.union(verified(others))
     fps = sets.select("shingles", "fp")

@@ -12,11 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, free_shuffles, materialise, table, texts
+from .common import discard, materialise, table, texts
 
 #: Words of a window (an edge of the graph, between nodes of one word less), and of the k-mers that pick its bucket.
 WINDOW, KMER = 50, 12
 SEED = 50
+#: Windows that are handed on at once.
+ROWS = 20_000
 _MUL, _ADD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _PIECE = "m long, c long, doc_id long, text_hash long, start int, n int"
 
@@ -105,11 +107,13 @@ def _windows(window: int):
         for batch in batches:
             for doc, key, text, chosen in zip(*(batch.column(c) for c in ("doc_id", "text_hash", "text", "chosen")), strict=True):
                 hashes = _runs(_hashes(words_of(text.as_py())), window).view(np.int64)
-                m, start, n = (np.array([p[f] for p in chosen.as_py()], np.int64) for f in ("m", "start", "n"))
-                places = np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
-                rows = len(places)
-                arrays = [np.repeat(m, n), hashes[places], np.full(rows, doc.as_py(), np.int64), np.full(rows, key.as_py(), np.int64), places.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(arrays, schema, strict=True)], schema=schema)
+                m, start, n = (chosen.values.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("m", "start", "n"))
+                places, m = np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n), np.repeat(m, n)
+                for at in range(0, len(places), ROWS):
+                    some = places[at : at + ROWS]
+                    rows = len(some)
+                    arrays = [m[at : at + ROWS], hashes[some], np.full(rows, doc.as_py(), np.int64), np.full(rows, key.as_py(), np.int64), some.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(arrays, schema, strict=True)], schema=schema)
 
     return run
 
@@ -132,16 +136,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
     met = materialise(buckets.where("a < b").select("m", (F.col("c1") != F.col("c2")).alias("branches")), "met")
     shared = materialise(pieces.join(met, "m"), "shared")
     discard(spark, pieces)
-    free_shuffles(spark)
     paths = materialise(shared.groupBy("m", "c").agg(F.min("doc_id").alias("first")), "paths")
     placed = materialise(shared.join(paths, ["m", "c"]), "placed")
     discard(spark, shared)
-    free_shuffles(spark)
     # the occurrences in a path's first document, which may hold it again; sets, since rows may repeat
     own = placed.where("doc_id = first AND branches").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("m", "start", "n")).alias("chosen"))
     chosen = known.join(own, ["doc_id", "text_hash"])
     single = materialise(chosen.mapInArrow(_windows(window), "m long, w long, doc_id long, text_hash long, start int"), "windows")
-    free_shuffles(spark)
     again = materialise(single.groupBy("m", "w").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"), "again")
     later = single.join(again, ["m", "w"]).where("doc_id > a").select("doc_id", "text_hash", "start", F.lit(1).alias("n"))
     return placed.where("doc_id > first").select("doc_id", "text_hash", "start", "n").union(later)
@@ -156,9 +157,9 @@ def _removed(window: int):
                 kept = words
                 if spans.is_valid:
                     step = np.zeros(len(words) + 1, np.int64)
-                    both = spans.as_py()
-                    np.add.at(step, [s["start"] for s in both], 1)
-                    np.add.at(step, [s["start"] + s["n"] + window - 1 for s in both], -1)
+                    start, n = (spans.values.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "n"))
+                    np.add.at(step, start, 1)
+                    np.add.at(step, start + n + window - 1, -1)
                     stay = np.cumsum(step[:-1]) == 0
                     kept = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
                 rows.append((len(words), len(words) - len(kept), b" ".join(kept)))
