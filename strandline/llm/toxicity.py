@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table, texts
 
-#: Labelled rows that a model is fitted on at most (those with the least hash of doc_id), and terms of its lexicon at most.
-LABELLED_ROWS, TERMS = 12_000, 4_000
+#: Labelled rows that a model is fitted on at most: those with the least hash of doc_id. It is the only bound; all terms with evidence count.
+LABELLED_ROWS = 12_000
 PREFIXES = range(4, 11)
 MIN_TOXIC = 4
 #: Terms that count without labelled rows, and phrases in which a term is harmless.
@@ -78,9 +80,11 @@ class Lexicon:
                     weight = max(prefix, whole) if end == last or not text[end + 1].isalpha() else prefix
                     if weight > hits.get(start, 0.0):
                         hits[start] = weight
-        if spared:
-            hits = {at: w for at, w in hits.items() if not any(a <= at <= b for a, b in spared)}
-        times = Counter((text[at : at + 12], w) for at, w in hits.items())
+        if spared:  # how far the phrases reach that start at or before a hit
+            spared.sort()
+            starts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+            hits = {at: w for at, w in hits.items() if not (k := bisect_right(starts, at)) or reach[k - 1] < at}
+        times = Counter((_WORD.match(text, at)[0], w) for at, w in hits.items())
         total = sum(w * (1 + np.log(k)) for (_, w), k in times.items())  # a word said again adds less each time
         return total, 100 * total / (n + 20), total / n**0.5, max(hits.values(), default=0.0), float(len(times)), float(np.log(n))
 
@@ -100,7 +104,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
         for text, toxic in zip(batch.column("text"), batch.column("toxic"), strict=True):
             words = set(_WORD.findall(fold(text.as_py())))
-            counts[toxic.as_py()].update({w[:k] for w in words for k in PREFIXES if k <= len(w)} | {w[:40] + "$" for w in words if len(w) > 3})
+            counts[toxic.as_py()].update({w[:k] for w in words for k in PREFIXES if k <= len(w)} | {w + "$" for w in words if len(w) > 3})
         terms = list(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts)], ["term", "clean", "toxic"])
 
@@ -117,7 +121,7 @@ def _chosen(rows: list, n_clean: int, n_toxic: int) -> dict[str, float]:
         bare = term.rstrip("$")
         if all(weight > weights.get(bare[:k], 0.0) + 0.3 for k in PREFIXES if k <= len(bare) and bare[:k] != term):
             weights[term] = weight
-    return dict(sorted(weights.items(), key=lambda x: -x[1])[:TERMS])
+    return weights
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -161,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
         n_clean, n_toxic = (sum(n.get((h, kind), 0) for h in halves) for kind in (0, 1))
         both = counted.select("term", *(sum(F.col(f"{kind}{h}") for h in halves).alias(kind) for kind in ("clean", "toxic")))
         sure = F.log((F.col("toxic") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n_clean + 1.0)) > 2
-        found = both.where((F.col("toxic") >= MIN_TOXIC) & sure).orderBy(F.desc("toxic"), "term").limit(8 * TERMS).collect()
+        found = both.where((F.col("toxic") >= MIN_TOXIC) & sure).collect()  # at most the distinct terms of the bounded sample
         return Lexicon(_chosen(found, n_clean, n_toxic))
 
     # figures of a half come from the terms of the other: a term found by chance gets no credit for it
@@ -185,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
 _MODELS: dict[str, Lexicon] = {}
 
 
-def _score(model: bytes):
+def _score(model: bytes, column: str):
     key = hashlib.sha256(model).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,20 +199,20 @@ def _score(model: bytes):
         lexicon = _MODELS[key]
         for batch in batches:
             rows = np.array([lexicon.features(t.as_py() or "") for t in batch.column("text")]).reshape(-1, 6)
-            yield batch.append_column("_score", pa.array(lexicon.scores(rows), pa.float64()))
+            yield batch.append_column(column, pa.array(lexicon.scores(rows), pa.float64()))
 
     return run
 
 
-def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The documents, columns and all, with a column _score from 0 to 1 (of the text alone; a null text counts as empty)."""
-    return docs.mapInArrow(_score(pickle.dumps(lexicon)), docs.select("*", F.lit(0.0).alias("_score")).schema)
+def score(docs: DataFrame, lexicon: Lexicon, column: str = "score") -> DataFrame:
+    """The documents, columns and all, with a column from 0 to 1 (of the text alone; a null text counts as empty); docs has no column of its name."""
+    return docs.mapInArrow(_score(pickle.dumps(lexicon), column), docs.select("*", F.lit(0.0).alias(column)).schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted (1 from a score of 0.5 on); repeated rows keep a row each."""
     rows = score(texts(docs), fit(docs, labels))
-    return rows.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
