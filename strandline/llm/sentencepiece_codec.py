@@ -22,7 +22,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct chunks whose ids a worker keeps at most; the cache starts anew beyond that.
 CACHED_CHUNKS = 200_000
-THREADS = 2
+#: Chunks of a string that is encoded at once, and threads of the library.
+GROUP, THREADS = 1_000, 2
+_LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -132,11 +134,8 @@ class Codec:
             core = models.BPE(ids, self._merges(ids), unk_token=self.pieces[m.unk_id], fuse_unk=True, byte_fallback=m.byte_fallback)
         self.tokenizer = Tokenizer(core)
         self.charsmap = normalizers.Precompiled(m.charsmap) if m.charsmap else None
-        text = [p for p, _, t in m.pieces if t in (NORMAL, USER_DEFINED)]
-        inner = any(SPACE in p.lstrip(SPACE) for p in text)
-        joined = {c for p in text if len(p) > 1 for c in p}
-        breaks = "".join(re.escape(c) for c in "\n\t" if c not in joined)
-        self.chunk = None if inner or self.user else re.compile(rf"[{breaks}]|{SPACE}+[^{SPACE}{breaks}]*|[^{SPACE}{breaks}]+" if breaks else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.chunk = None if self.user else self._cuts([p for p, _, t in m.pieces if t == NORMAL])
+        self.mark = self._separator()
         self.bytes_of = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in m.pieces]
         self.is_byte = np.array([t == BYTE for _, _, t in m.pieces])
         self.fallback = np.array([t in (BYTE, UNKNOWN) for _, _, t in m.pieces])
@@ -153,6 +152,47 @@ class Codec:
                         found.append((-score, ids[piece], i, a, b))
         return [(a, b) for _, _, _, a, b in sorted(found)]
 
+    def _cuts(self, pieces: list[str]) -> re.Pattern | None:
+        """What finds the chunks of normalised text; none where a piece holds a marker behind other signs.
+
+        Chunks start at a run of markers and stand around line ends and tabs that are in no longer piece. With byte fallback, where unknown
+        characters never join, they also end between a letter and those signs that no piece has right behind or in front of a letter.
+        """
+        if any(SPACE in p.lstrip(SPACE) for p in pieces):
+            return None
+        joined = {c for p in pieces if len(p) > 1 for c in p}
+        breaks = "".join(re.escape(c) for c in "\n\t" if c not in joined)
+        beside = {c for p in pieces for x, y in zip(p, p[1:], strict=False) if _LETTERS.match(x) or _LETTERS.match(y) for c in (x, y)}
+        signs = "".join(re.escape(c) for c in "!\"#$%&()*+,-./:;<=>?@[\\]_{|}" if c not in beside) if self.model.byte_fallback else ""
+        end = f"[{_LETTERS.pattern[1:-1]}]+(?=[{signs}])|[{signs}]+(?=[{_LETTERS.pattern[1:-1]}])|" if signs else ""
+        plain = f"[^{SPACE}{breaks}]"
+        start = f"{SPACE}+(?:{end}{plain}*)" if end else f"{SPACE}+{plain}*"
+        return re.compile((f"[{breaks}]|" if breaks else "") + f"{start}|{end}{plain}+")
+
+    def _separator(self) -> int | None:
+        """The id of a line end, if it is one id and no chunk but itself holds one: it parts chunks that are encoded in one string."""
+        if self.chunk is None or self.chunk.findall("a\nb") != ["a", "\n", "b"]:
+            return None
+        ids = self._segment(["\n"])[0]
+        return ids[0] if len(ids) == 1 else None
+
+    def _ids_of(self, parts: list[str]) -> list[bytes]:
+        """The ids of each chunk, encoded many to a string and multithreaded over the strings."""
+        if self.mark is None or "\n" in parts:
+            return [np.array(x, "<u4").tobytes() for x in self._segment(parts)]
+        groups = [parts[i : i + GROUP] for i in range(0, len(parts), GROUP)]
+        out: list[bytes] = []
+        for group, found in zip(groups, self._segment(["\n".join(g) for g in groups]), strict=True):
+            ids = np.array(found, "<u4")
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            if len(ends) != len(group):
+                raise ValueError("a chunk's ids hold the separator")
+            data, at = ids.tobytes(), 0
+            for end in ends:
+                out.append(data[4 * at : 4 * end])
+                at = end + 1
+        return out
+
     def normalise(self, text: str) -> str:
         if self.charsmap:
             text = self.charsmap.normalize_str(text)
@@ -165,19 +205,23 @@ class Codec:
         return text.replace(" ", SPACE) if self.model.escape else text
 
     def _segment(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def encode_batch(self, docs: list[str]) -> list[np.ndarray]:
-        normal = [self.normalise(t) for t in docs]
+        return self.encode_normal([self.normalise(t) for t in docs])
+
+    def encode_normal(self, normal: list[str]) -> list[np.ndarray]:
+        """The ids of texts that are normalised already."""
         if self.chunk is None:
             return [np.array(x, np.uint32) for x in self._segment(normal)]
         parts = [self.chunk.findall(t) for t in normal]
         new = list({p for doc in parts for p in doc if p not in self.known})
         if len(self.known) + len(new) > CACHED_CHUNKS:
             self.known, new = {}, list({p for doc in parts for p in doc})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            self.known.update(zip(some, (np.array(x, "<u4").tobytes() for x in self._segment(some)), strict=True))
+        lines = [p for p in new if p == "\n"]
+        new = [p for p in new if p != "\n"]
+        for some in (lines, *(new[at : at + 16 * GROUP] for at in range(0, len(new), 16 * GROUP))):
+            self.known.update(zip(some, self._ids_of(some), strict=True))
         ids = self.known.__getitem__
         return [np.frombuffer(b"".join(map(ids, doc)), "<u4") for doc in parts]
 
@@ -219,10 +263,10 @@ def _run(path: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ours = codec(path)
         for batch in batches:
-            docs = [t.as_py() for t in batch.column("text")]
-            encoded = ours.encode_batch(docs)
+            normal = [ours.normalise(t.as_py()) for t in batch.column("text")]
+            encoded = ours.encode_normal(normal)
             decoded = [ours.decode(x) for x in encoded]
-            plain = [ours.normalise(t).replace(SPACE, " ") for t in docs]
+            plain = [t.replace(SPACE, " ") for t in normal]
             cut = 1 if ours.model.dummy_prefix else 0
             columns = [
                 batch.column("doc_id"),
