@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -18,25 +19,76 @@ from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, materialise, new_path, table, texts
 
-MAGIC = b"SWM1"
+MAGIC = b"SWM2"
 END_ID = 2
 #: Tokens of a shard file at most (a longer document gets a file of its own), and documents of a task's range of ids about.
 SHARD_TOKENS, RANGE_DOCS = 2_000_000, 8_000
 #: Distinct words of each of the two generations that a worker keeps the ids of, about.
-CACHED_WORDS = 200_000
-_BLOCK = 512  # bits of a rank block
+CACHED_WORDS = 400_000
+_BLOCK, UNIT = 512, 1 << 16  # bits of a rank block, and bytes of a plane that are compressed together
+
+
+class Plane:
+    """One bit of every value: compressed units that are inflated when they are first read, and the ones before every block of _BLOCK bits."""
+
+    def __init__(self, n: int, units: list[bytes | np.ndarray], blocks: np.ndarray) -> None:
+        self.n, self.units, self.blocks = n, units, blocks
+
+    @classmethod
+    def build(cls, n: int, data: np.ndarray) -> Plane:
+        padded = np.zeros(-(-max(1, n) // _BLOCK) * (_BLOCK // 8), np.uint8)
+        padded[: len(data)] = data
+        counts = np.bitwise_count(padded.view(np.uint64)).reshape(-1, _BLOCK // 64).sum(axis=1, dtype=np.uint32)
+        return cls(n, [padded[i : i + UNIT] for i in range(0, len(padded), UNIT)], np.concatenate([[0], np.cumsum(counts, dtype=np.uint32)]).astype(np.uint32))
+
+    def unit(self, i: int) -> np.ndarray:
+        if isinstance(self.units[i], bytes):
+            self.units[i] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.units[i]), np.uint8)
+        return self.units[i]
+
+    def bits(self) -> np.ndarray:
+        return np.concatenate([self.unit(i) for i in range(len(self.units))])
+
+    def zeros(self) -> int:
+        return self.n - int(self.blocks[-1])
+
+    def bit(self, i: int) -> int:
+        return int(self.unit(i // (8 * UNIT))[i // 8 % UNIT]) >> (i % 8) & 1
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        """Ones among the first so many bits, for each entry of at."""
+        out = self.blocks[at // _BLOCK].astype(np.int64)
+        within = np.flatnonzero(at % _BLOCK)
+        for u in np.unique(at[within] // (8 * UNIT)).tolist():
+            some = within[at[within] // (8 * UNIT) == u]
+            words, here = self.unit(u).view(np.uint64), at[some] - u * 8 * UNIT
+            start, upto = here // _BLOCK * (_BLOCK // 64), here // 64
+            for k in range(_BLOCK // 64):  # whole words of the block in front, then the part of the last one
+                word = np.minimum(start + k, len(words) - 1)
+                take = np.where(start + k < upto, np.uint64(0xFFFFFFFFFFFFFFFF), np.where(start + k == upto, (np.uint64(1) << (here % 64).astype(np.uint64)) - np.uint64(1), np.uint64(0)))
+                out[some] += np.bitwise_count(words[word] & take)
+        return out
+
+    def place(self, bit: int, k: np.ndarray) -> np.ndarray:
+        """Positions of the k-th bits (from 0) of this value, by bisection of the counts."""
+        low, high = np.zeros_like(k), np.full_like(k, self.n)
+        while (open_ := high - low > 1).any():
+            mid = np.where(open_, (low + high) // 2, low)
+            ones = self.ones(mid)
+            before = (ones if bit else mid - ones) <= k
+            low, high = np.where(open_ & before, mid, low), np.where(open_ & ~before, mid, high)
+        return low
 
 
 class WaveletMatrix:
     """A sequence of non-negative integers as bit-planes, the highest bit first.
 
     Each level stores one bit of every value; values with a 0 go on in front of those with a 1. access, rank and select
-    take one step a level; a block count every 512 bits makes each step's rank a short popcount.
+    take one step a level; a count of ones every 512 bits makes each step's rank a short popcount.
     """
 
-    def __init__(self, n: int, planes: list[np.ndarray]) -> None:
+    def __init__(self, n: int, planes: list[Plane]) -> None:
         self.n, self.planes, self.levels = n, planes, len(planes)
-        self._blocks: list[np.ndarray] | None = None
 
     @classmethod
     def build(cls, values: np.ndarray, levels: int | None = None) -> WaveletMatrix:
@@ -45,7 +97,7 @@ class WaveletMatrix:
         values, planes = np.asarray(values).astype(kind), []
         for b in reversed(range(levels)):
             ones = (values & kind(1 << b)).astype(bool)
-            planes.append(np.packbits(ones, bitorder="little"))
+            planes.append(Plane.build(len(values), np.packbits(ones, bitorder="little")))
             if b:
                 values = np.concatenate([np.compress(~ones, values), np.compress(ones, values)])
         return cls(len(values), planes)
@@ -55,103 +107,89 @@ class WaveletMatrix:
         kind = np.uint16 if self.levels <= 16 else np.uint32
         out = np.zeros(self.n, kind)
         for b, plane in enumerate(reversed(self.planes)):
-            ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
-            at, back = np.flatnonzero(ones), np.empty(self.n, kind)
-            zeros = self.n - len(at)
-            back[np.flatnonzero(~ones)], back[at] = out[:zeros], out[zeros:] | kind(1 << b)
+            ones = np.unpackbits(plane.bits(), count=self.n, bitorder="little").view(bool)
+            back, zeros = np.empty(self.n, kind), plane.zeros()
+            back[~ones], back[ones] = out[:zeros], out[zeros:] | kind(1 << b)
             out = back
         return out
 
-    def _directory(self) -> list[np.ndarray]:
-        if self._blocks is None:
-            self._blocks = []
-            for plane in self.planes:
-                padded = np.zeros(-(-max(1, self.n) // _BLOCK) * (_BLOCK // 8), np.uint8)
-                padded[: len(plane)] = plane
-                self._blocks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(padded).reshape(-1, _BLOCK // 8).sum(axis=1, dtype=np.int64))]))
-        return self._blocks
-
-    def _ones(self, level: int, i: int) -> int:
-        """Ones among the first i bits of a level."""
-        block, plane = i // _BLOCK, self.planes[level]
-        start, end = block * (_BLOCK // 8), i // 8
-        count = int(self._directory()[level][block]) + int(np.bitwise_count(plane[start:end]).sum(dtype=np.int64))
-        return count + (int(plane[end]) & ((1 << (i % 8)) - 1)).bit_count() if i % 8 else count
-
-    def _zeros(self, level: int) -> int:
-        return self.n - int(self._directory()[level][-1])
-
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for level, plane in enumerate(self.planes):
-            bit, ones = int(plane[i // 8]) >> (i % 8) & 1, self._ones(level, i)
-            value, i = value << 1 | bit, self._zeros(level) + ones if bit else i - ones
+        for plane in self.planes:
+            bit, ones = plane.bit(i), int(plane.ones(np.array([i]))[0])
+            value, i = value << 1 | bit, plane.zeros() + ones if bit else i - ones
         return value
 
-    def _range(self, value: int, i: int) -> tuple[int, int]:
-        """Where the occurrences of value among the first i values stand below the last level."""
-        low, high = 0, i
-        for level in range(self.levels):
-            a, b = self._ones(level, low), self._ones(level, high)
-            low, high = (self._zeros(level) + a, self._zeros(level) + b) if value >> (self.levels - 1 - level) & 1 else (low - a, high - b)
-        return low, high
+    def _below(self, value: int, at: np.ndarray) -> np.ndarray:
+        """Where positions of the sequence come to stand below the last level if they follow value."""
+        for level, plane in enumerate(self.planes):
+            ones = plane.ones(at)
+            at = plane.zeros() + ones if value >> (self.levels - 1 - level) & 1 else at - ones
+        return at
+
+    def ranks(self, value: int, at: np.ndarray) -> np.ndarray:
+        """Occurrences of value among the first so many values, for each entry of at."""
+        at = np.clip(np.asarray(at, np.int64), 0, self.n)
+        if not 0 <= value < 1 << self.levels:
+            return np.zeros(len(at), np.int64)
+        return self._below(value, at) - self._below(value, np.zeros(1, np.int64))
 
     def rank(self, value: int, i: int | None = None) -> int:
         """Occurrences of value among the first i values (all by default)."""
-        if not 0 <= value < 1 << self.levels:
-            return 0
-        low, high = self._range(value, self.n if i is None else max(0, min(i, self.n)))
-        return high - low
+        return int(self.ranks(value, np.array([self.n if i is None else i]))[0])
+
+    def selects(self, value: int, k: np.ndarray) -> np.ndarray:
+        """Positions of the occurrences number k (from 0) of value, for each entry of k."""
+        k = np.asarray(k, np.int64)
+        if len(k) and not 0 <= k.min() <= k.max() < self.rank(value):
+            raise IndexError(value)
+        at = self._below(value, np.zeros(1, np.int64)) + k
+        for level in reversed(range(self.levels)):
+            bit, plane = value >> (self.levels - 1 - level) & 1, self.planes[level]
+            at = plane.place(bit, at - plane.zeros() if bit else at)
+        return at
 
     def select(self, value: int, k: int) -> int:
         """Position of occurrence number k (from 0) of value."""
-        if not 0 <= k < self.rank(value):
-            raise IndexError(k)
-        i = self._range(value, self.n)[0] + k
-        for level in reversed(range(self.levels)):
-            bit = value >> (self.levels - 1 - level) & 1
-            i = self._bit_at(level, i - self._zeros(level) if bit else i, bit)
-        return i
-
-    def _bit_at(self, level: int, k: int, bit: int) -> int:
-        """Position of the k-th bit (from 0) of this value in a level, by bisection of its counts."""
-        low, high = 0, self.n
-        while high - low > 1:
-            mid = (low + high) // 2
-            ones = self._ones(level, mid)
-            low, high = (mid, high) if (ones if bit else mid - ones) <= k else (low, mid)
-        return low
+        return int(self.selects(value, np.array([k]))[0])
 
     def occurrences(self, value: int) -> list[int]:
-        return [self.select(value, k) for k in range(self.rank(value))]
+        return self.selects(value, np.arange(self.rank(value))).tolist()
 
 
 def pack(doc_ids: Iterable[int], lengths: Iterable[int], values: np.ndarray) -> bytes:
-    """A shard file: magic, counts, the documents' ids and lengths deflated, then the planes (compressed where that helps)."""
+    """A shard file: magic, counts, the documents' ids and lengths deflated, then of each plane the rank blocks and its units (compressed where that helps)."""
     matrix, doc_ids, lengths = WaveletMatrix.build(values), np.asarray(list(doc_ids), np.int64), np.asarray(list(lengths), np.int64)
-    head = zlib.compress(doc_ids.tobytes() + lengths.tobytes(), 1)
+    head, squeeze = zlib.compress(doc_ids.tobytes() + lengths.tobytes(), 1), zstandard.ZstdCompressor(level=1)
     out = [MAGIC, struct.pack("<QQBI", matrix.n, len(doc_ids), matrix.levels, len(head)), head]
     for plane in matrix.planes:
-        small = zstandard.ZstdCompressor(level=1).compress(plane.tobytes())
-        kept = small if len(small) < 0.9 * plane.nbytes else plane.tobytes()
-        out += [struct.pack("<BQ", kept is small, len(kept)), kept]
+        units = []
+        for unit in plane.units:
+            small = squeeze.compress(unit.tobytes())
+            units.append((len(small) < 0.9 * unit.nbytes, small if len(small) < 0.9 * unit.nbytes else unit.tobytes()))
+        out += [struct.pack("<II", len(plane.blocks), len(units)), plane.blocks.tobytes()]
+        out += [struct.pack("<BI", small, len(kept)) for small, kept in units]
+        out += [kept for _, kept in units]
     return b"".join(out)
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
-    """(doc_ids, lengths, matrix) of a shard file."""
+    """(doc_ids, lengths, matrix) of a shard file; a unit of a plane is inflated when something in it is asked for."""
     if data[:4] != MAGIC:
         raise ValueError("not a shard file")
     n, docs, levels, head = struct.unpack_from("<QQBI", data, 4)
     at = 4 + struct.calcsize("<QQBI")
     both, at, planes = np.frombuffer(zlib.decompress(data[at : at + head]), np.int64), at + head, []
     for _ in range(levels):
-        small, size = struct.unpack_from("<BQ", data, at)
-        at += struct.calcsize("<BQ")
-        plane, at = data[at : at + size], at + size
-        planes.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(plane) if small else plane, np.uint8))
+        n_blocks, n_units = struct.unpack_from("<II", data, at)
+        blocks, at = np.frombuffer(data, np.uint32, n_blocks, at + 8), at + 8 + 4 * n_blocks
+        sizes, at, units = [struct.unpack_from("<BI", data, at + 5 * i) for i in range(n_units)], at + 5 * n_units, []
+        for small, size in sizes:
+            units.append(data[at : at + size] if small else np.frombuffer(data[at : at + size], np.uint8))
+            at += size
+        planes.append(Plane(n, units, blocks))
     return both[:docs], both[docs:], WaveletMatrix(n, planes)
 
 
@@ -182,7 +220,12 @@ class _Store:
 _TAIL = re.compile(rb"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,!?;:|#&*%$]+)(?=\s|$)")
 #: A full stop or comma in a run of signs; where there is none, each of them can be cut off by itself.
 _RUN = re.compile(rb"[^\sA-Za-z0-9\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff][.,]")
-#: Words by which a tokenizer is tried out: whether its model alone gives what the whole tokenizer gives.
+#: How a tokenizer's file spells the normalising and cutting that words_of() relies on.
+NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+#: Words by which the short way is tried out: whether the model alone gives what the whole tokenizer gives.
 TRIAL = ("a", "the", "tions", "onenthatwhing", "é", "über", "façonñ", "ß", "ªº", "straßenà", "qzxjkvw", "þðæøå")
 
 
@@ -206,7 +249,7 @@ def words_of(text: str) -> list[bytes] | list[str]:
 
 
 class WordEncoder:
-    """Encodes texts part by part with a tokenizer whose tokens never cross the cuts of words_of(), as word_bpe_49k's do.
+    """Encodes texts part by part, if the tokenizer's file says that it lower-cases and cuts as words_of() relies on, else as wholes.
 
     A part's ids are the library's own, kept once found. The cache has two generations: when the younger is full it
     becomes the older, and parts found in the older one move on, so what is frequent stays.
@@ -216,29 +259,46 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        cuts = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.by_parts = (spec["normalizer"] or {}).get("normalizers") == NORMALISER and cuts.get("pattern") == {"Regex": CUTS} and cuts.get("behavior") == "Removed"
         self.model = self.tokenizer.model
-        self.direct = all(self._of_letters(w) == self._whole(w) for w in TRIAL)
-        self.cache = _Cache(self, {})
+        self.direct = self.by_parts and [self._of_letters(w) for w in TRIAL] == self._whole(list(TRIAL))
+        self.cache: dict[bytes | str, bytes] = {}
+        self.older: dict[bytes | str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers."""
+        return self.encode_parts([words_of(t) for t in texts]) if self.by_parts else self._whole(texts)
 
-    def encode(self, docs: list[list]) -> list[bytes]:
-        """For each document's parts its ids as little-endian unsigned 32-bit integers."""
+    def encode_parts(self, docs: list[list]) -> list[bytes]:
         if len(self.cache) > CACHED_WORDS:
-            self.cache = _Cache(self, dict(self.cache))
-        ids = self.cache.__getitem__
-        return [b"".join(map(ids, words)) for words in docs]
-
-    def ids(self, part: bytes | str) -> bytes:
-        word = part.decode("latin-1") if isinstance(part, bytes) else part
-        if self.direct and isinstance(part, bytes):
-            if word.isalpha():
-                return self._of_letters(word)
-            if len(both := _LETTERS.split(word)) > 1 and "'" not in word:  # letters, and what is cut off from them
-                return b"".join(self._of_letters(x) if x.isalpha() else self.cache[x.encode("latin-1")] for x in both if x)
-        return self._whole(word)
-
-    def _whole(self, word: str) -> bytes:
-        ids = self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+            self.cache, self.older = {}, self.cache
+        known, out = self.cache.get, []
+        for parts in docs:
+            ids = list(map(known, parts))
+            if None in ids:
+                ids = [self._found(part) if x is None else x for x, part in zip(ids, parts, strict=True)]
+            out.append(b"".join(ids))
+        return out
+
+    def _found(self, part: bytes | str) -> bytes:
+        """The ids of a part that the younger generation may lack; letters are cut off from signs and digits, where no apostrophe stands with them."""
+        ids = self.cache.get(part) or self.older.get(part)
+        if ids is None:
+            word = part.decode("latin-1") if isinstance(part, bytes) else part
+            short = self.direct and isinstance(part, bytes)
+            if short and word.isalpha():
+                ids = self._of_letters(word)
+            elif short and "'" not in word and len(both := _LETTERS.split(word)) > 1:
+                ids = b"".join(self._of_letters(x) if x.isalpha() else self._found(x.encode("latin-1")) for x in both if x)
+            else:
+                ids = self._whole([word])[0]
+        self.cache[part] = ids
+        return ids
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _of_letters(self, word: str) -> bytes:
         """A lower-case word of Latin-1 letters by the model alone: there is nothing to normalise or to cut in it."""
@@ -250,19 +310,6 @@ class WordEncoder:
 _LETTERS = re.compile("([a-zªµºß-öø-ÿ]+)")
 
 
-class _Cache(dict):
-    """part -> its ids; an unknown part is looked for in the older generation, then encoded."""
-
-    def __init__(self, encoder: WordEncoder, older: dict[bytes | str, bytes]) -> None:
-        super().__init__()
-        self._encoder, self._older = encoder, older
-
-    def __missing__(self, part: bytes | str) -> bytes:
-        ids = self._older.get(part)
-        self[part] = ids = self._encoder.ids(part) if ids is None else ids
-        return ids
-
-
 def _byte_letters() -> dict[int, str]:
     """Latin-1 characters as the characters that byte-level vocabularies have for their UTF-8 bytes: the visible ones stand for themselves, the rest are numbered from 256 on."""
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -273,24 +320,6 @@ def _byte_letters() -> dict[int, str]:
 _BYTES = _byte_letters()
 
 
-class _Slots(dict):
-    """part -> its place in ids; an unknown part gets the next place, with ids from the older generation or to come."""
-
-    def __init__(self, older: dict[bytes | str, bytes]) -> None:
-        super().__init__()
-        self.ids: list[bytes] = []
-        self.new: list[bytes | str] = []
-        self._older = older
-
-    def __missing__(self, part: bytes | str) -> int:
-        self[part] = place = len(self.ids)
-        ids = self._older.get(part)
-        self.ids.append(ids or b"")
-        if ids is None:
-            self.new.append(part)
-        return place
-
-
 @cache
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
@@ -314,7 +343,7 @@ def _write(folder: str, path: str):
             return pa.RecordBatch.from_pylist([{"shard_range": key, "part": part, "name": name, "n_docs": len(held), "n_tokens": sum(lengths)}], schema=_MANIFEST)
 
         for batch in batches:
-            encoded = encoder(path).encode([words_of(t.as_py()) for t in batch.column("text")])
+            encoded = encoder(path).encode([t.as_py() for t in batch.column("text")])
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 ids += end
                 if held and size + len(ids) // 4 > SHARD_TOKENS:
@@ -346,9 +375,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None) ->
     return materialise(written, "manifest")
 
 
-def _read(folder: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+_DOCS = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "n_tokens", "ids_crc32", "n_end_ids")])
+
 
+def _read(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _Store(folder)
         for batch in batches:
@@ -357,19 +387,25 @@ def _read(folder: str):
                 ids, ends = matrix.values().astype("<u4", copy=False), np.cumsum(lengths)
                 starts = ends - lengths
                 crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
+                marked = matrix.ranks(END_ID, ends) - matrix.ranks(END_ID, starts)
                 for at in range(0, len(doc_ids), 16 * BATCH_ROWS):
                     part = slice(at, at + 16 * BATCH_ROWS)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc_ids[part], starts[part] + base.as_py(), lengths[part], crcs[part])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc_ids[part], starts[part] + base.as_py(), lengths[part], crcs[part], marked[part])], schema=_DOCS)
 
     return run
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the shard files."""
-    order = Window.orderBy("shard_range", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    based = manifest.select("name", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base"))
+    """(doc_id, start, n_tokens, ids_crc32, n_end_ids) of every document, read back from the shard files; the last counts END_ID by rank.
+
+    Where a shard starts is the sum of the ranges before its own, one row a range, and of the parts before it in its range.
+    """
+    ranges = manifest.groupBy("shard_range").agg(F.sum("n_tokens").alias("n"))
+    before = ranges.select("shard_range", F.coalesce(F.sum("n").over(Window.orderBy("shard_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    parts = Window.partitionBy("shard_range").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    based = manifest.withColumn("own", F.coalesce(F.sum("n_tokens").over(parts), F.lit(0))).join(before, "shard_range").select("name", (F.col("own") + F.col("before")).alias("base"))
     spread = based.repartition(max(1, manifest.count()), "name")
-    return spread.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, n_end_ids long")
 
 
 def op2_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ def direct(path, docs):
     tokenizer, at, out = Tokenizer.from_file(path), 0, []
     for doc, text in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
-        out.append((-1 if doc is None else doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        out.append((-1 if doc is None else doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids.count(2)))
         at += len(ids)
     return out
 
@@ -55,7 +55,8 @@ def test_parts_encode_like_whole_texts():
     texts = ["it's. don't,x a.b. 'S. ...", "~ ~~ a~b", "é. Ü, ß.\n", "1. 2, 3.4", "a　b.", "<|endoftext|> a.", "x\x0bz.\x0c y.\r\n", "ª. º,", "日本, 語.", ""]
     signs = list("ab é.,!?;:'\n\t1~|<>#-_ÀÿSs") + ["ing", "The", "'t ", "💥"]
     texts += ["".join(rng.choices(signs, k=rng.randrange(1, 60))) for _ in range(400)]
-    got = encoder.encode([wavelet.words_of(t) for t in texts])
+    assert encoder.by_parts
+    got = encoder.encode(texts)
     for text, ids in zip(texts, got, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
@@ -65,7 +66,28 @@ def test_cache_generations(monkeypatch):
     encoder, path = wavelet.WordEncoder(wavelet.default_tokenizer()), wavelet.default_tokenizer()
     plain = wavelet.WordEncoder(path)
     for words in ("a b c d e", "f g a", "b z y x w v", "a b c", "e e e"):
-        assert encoder.encode([words.encode().split()]) == [b"".join(plain.encode([[w]])[0] for w in words.encode().split())]
+        assert encoder.encode([words]) == [b"".join(plain.encode([w])[0] for w in words.split())]
+
+
+def test_another_tokenizer_gets_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    path, own = tmp_path / "other.json", Tokenizer(models.BPE({"a": 0, "b": 1, " ": 2, "b a": 3, "b ": 4}, [("b", " "), ("b ", "a")]))
+    own.save(str(path))
+    encoder = wavelet.WordEncoder(str(path))
+    assert not encoder.by_parts
+    assert np.frombuffer(encoder.encode(["ab ab"])[0], "<u4").tolist() == own.encode("ab ab").ids == [0, 3, 1]
+
+
+def test_units_are_inflated_when_asked_for(monkeypatch):
+    monkeypatch.setattr(wavelet, "UNIT", 128)
+    values = np.repeat(np.arange(40, dtype=np.uint32), 300)
+    matrix = wavelet.unpack(wavelet.pack([1], [len(values)], values))[2]
+    packed = sum(isinstance(u, bytes) for p in matrix.planes for u in p.units)
+    assert packed > 20 and matrix.access(5_000) == values[5_000]
+    assert sum(isinstance(u, bytes) for p in matrix.planes for u in p.units) >= packed - len(matrix.planes)
+    assert matrix.selects(7, np.array([0, 5, 299])).tolist() == [2100, 2105, 2399] and matrix.ranks(7, [0, 2101, 9999]).tolist() == [0, 1, 300]
+    assert matrix.values().tolist() == values.tolist()
 
 
 def test_query_equals_direct_encoding(spark, monkeypatch):
