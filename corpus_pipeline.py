@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import decontamination, secrets, sentencepiece_codec, simhash, toxicity
-from strandline.llm.common import materialise, table, tune
+from strandline.llm.common import materialise, table, tune, unused_name
 
 #: Rounds of the toxicity verdict: a document goes from this score on.
 TOXIC_FROM = 0.5
@@ -19,7 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     tune(spark)
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, lexicon).where(F.col("_score") < TOXIC_FROM).drop("_score")
+    column = unused_name(docs, "score")
+    return toxicity.score(docs, lexicon, column).where(F.col(column) < TOXIC_FROM).drop(column)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
