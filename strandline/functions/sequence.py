@@ -85,15 +85,17 @@ CODONS = _codons()
 def amino_acid(codon: Column) -> Column:
     """One letter for a codon, * for a stop; X where the codon is short, unknown, or stands for several amino acids."""
     table = F.create_map(*(F.lit(x) for pair in CODONS.items() for x in pair))
-    return F.coalesce(F.try_element_at(table, normalise(codon)), F.lit("X"))
+    bases = normalise(codon)
+    digit = lambda i: F.position(F.substring(bases, i, 1), F.lit("TCAG")) - 1
+    plain = F.substring(F.lit(GENETIC_CODE), 16 * digit(1) + 4 * digit(2) + digit(3) + 1, F.lit(1))
+    return F.when(bases.rlike("^[TCAG]{3}$"), plain).otherwise(F.coalesce(F.try_element_at(table, bases), F.lit("X")))
 
 
 def translate(seq: Column, frame: int | Column = 0) -> Column:
     """The protein of whole codons from offset frame on."""
     first = frame if isinstance(frame, Column) else F.lit(frame)
-    n = F.floor((F.length(seq) - first) / 3).cast("int")
-    codons = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: amino_acid(F.substring(seq, first + i * 3 + 1, F.lit(3)))))
-    return F.coalesce(F.array_join(codons, ""), F.lit(""))
+    codons = F.regexp_extract_all(F.substring(seq, first + 1, F.length(seq)), F.lit("(?s)(...)"), F.lit(1))  # one pass, however long the sequence is
+    return F.coalesce(F.array_join(F.transform(codons, amino_acid), ""), F.lit(""))
 
 
 def longest_orf(seq: Column, full_length: bool = False) -> Column:
@@ -150,3 +152,51 @@ def intron_class(donor: Column, acceptor: Column) -> Column:
 def wrap(seq: Column, width: int = 60) -> Column:
     """Lines of width characters."""
     return F.array_join(F.regexp_extract_all(seq, F.lit(f"(.{{1,{width}}})"), F.lit(1)), "\n")
+
+
+def _degenerate() -> dict[str, str]:
+    """amino acid -> the IUPAC codon that covers all its codons."""
+    letters = {"".join(sorted(bases)): code for code, bases in (BASES | {"S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "V": "ACG"}).items()}
+    found: dict[str, list[set[str]]] = {}
+    for codon, aa in zip(product("TCAG", repeat=3), GENETIC_CODE, strict=True):
+        for seen, base in zip(found.setdefault(aa, [set(), set(), set()]), codon, strict=True):
+            seen.add(base)
+    return {aa: "".join(letters["".join(sorted(s))] for s in sets) for aa, sets in found.items()}
+
+
+DEGENERATE = _degenerate()
+
+
+def back_translate(protein: Column) -> Column:
+    """Three IUPAC letters for each amino acid (in either case), NNN for any other letter."""
+    table = F.create_map(*(F.lit(x) for pair in DEGENERATE.items() for x in pair))
+    return F.array_join(F.transform(F.regexp_extract_all(F.upper(protein), F.lit("(?s)(.)"), F.lit(1)), lambda a: F.coalesce(F.try_element_at(table, a), F.lit("NNN"))), "")
+
+
+def amino_changes(reference: Column, changed: Column) -> Column:
+    """The places (from 1) where two proteins differ, as A12V, joined by commas; a place that only one has shows - for the other."""
+    a, b = (F.regexp_extract_all(x, F.lit("(?s)(.)"), F.lit(1)) for x in (reference, changed))
+    both = F.zip_with(a, b, lambda x, y: F.struct(F.coalesce(x, F.lit("-")).alias("a"), F.coalesce(y, F.lit("-")).alias("b")))
+    texts = F.transform(both, lambda p, i: F.when(p["a"] != p["b"], F.concat(p["a"], (i + 1).cast("string"), p["b"])))
+    return F.array_join(F.filter(texts, lambda x: x.isNotNull()), ",")
+
+
+def tolerant_mismatches(query: Column, genome: Column, alternate: Column) -> Column:
+    """A struct (mism, known) of sequences of one length: places that differ from both alleles, and those that show the alternate one only."""
+    q, g, a = (F.split(x, "") for x in (query, genome, alternate))
+    pairs = F.zip_with(F.zip_with(q, g, lambda x, y: F.struct(x.alias("q"), y.alias("g"))), a, lambda p, z: F.struct(p["q"].alias("q"), p["g"].alias("g"), z.alias("a")))
+    count = lambda test: F.size(F.filter(pairs, test))
+    return F.struct(count(lambda p: (p["q"] != p["g"]) & (p["q"] != p["a"])).alias("mism"), count(lambda p: (p["q"] != p["g"]) & (p["q"] == p["a"])).alias("known"))
+
+
+def pair_counters(query: Column, genome: Column) -> Column:
+    """A struct over the columns of an alignment (- is a gap, N an unknown base): matches, mismatches, unknowns, and openings and bases of gaps in either."""
+    pairs = F.zip_with(F.split(query, ""), F.split(genome, ""), lambda a, b: F.struct(a.alias("q"), b.alias("g")))
+    count = lambda test: F.size(F.filter(pairs, test))
+    both = lambda p: (p["q"] != "-") & (p["g"] != "-")
+    known = lambda p: both(p) & (p["q"] != "N") & (p["g"] != "N")
+    opened = lambda text: F.size(F.regexp_extract_all(text, F.lit("(-+)"), F.lit(1)))
+    return F.struct(
+        count(lambda p: known(p) & (p["q"] == p["g"])).alias("matches"), count(lambda p: known(p) & (p["q"] != p["g"])).alias("mismatches"), count(lambda p: both(p) & ~known(p)).alias("unknowns"),
+        opened(query).alias("qopens"), count(lambda p: p["q"] == "-").alias("qindels"), opened(genome).alias("topens"), count(lambda p: p["g"] == "-").alias("tindels"),
+    )

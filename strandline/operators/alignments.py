@@ -134,13 +134,16 @@ def mark_duplicates(sam: DataFrame, chromosomes: DataFrame, mark_first: bool = F
     Reads are equal if their primary ends begin at the same extended places on the same strands and their sequences agree, in the order of the
     places; reads without a mapped end, if their sequences do. Of equal reads the one that comes first in the input is no
     duplicate, unless mark_first. A read is all rows of one qname. Rows are grouped by read, so that a place that very many reads share is
-    resolved from one row each, by a hash of the key that shuffles no sequence.
+    resolved from one row each, by two hashes of the key that shuffle no sequence.
     """
     primary = (F.col("flag").bitwiseAND(F.lit(FLAGS["secondary"])) == 0)
     placed = extended_position(_placed(sam, chromosomes))
-    end = F.struct("ext_pos", has_flag(F.col("flag"), "reverse").alias("reverse"), F.xxhash64("seq").alias("seq"))
+    end = F.struct("ext_pos", has_flag(F.col("flag"), "reverse").alias("reverse"), F.xxhash64("seq").alias("seq"), F.xxhash64(F.lit(1), "seq").alias("seq2"))
     reads = placed.where(primary).groupBy("qname").agg(F.min("ord").alias("first"), F.sort_array(F.collect_list(end)).alias("ends"))
-    reads = reads.withColumn("_key", F.when(F.exists("ends", lambda x: x["ext_pos"] > 0), F.xxhash64("ends")).otherwise(F.xxhash64(F.transform("ends", lambda x: x["seq"]), F.lit(1))))
+    mapped = F.exists("ends", lambda x: x["ext_pos"] > 0)
+    what = F.when(mapped, F.col("ends")).otherwise(F.array_sort(F.transform("ends", lambda x: F.struct(F.lit(0).cast("long").alias("ext_pos"), F.lit(False).alias("reverse"), x["seq"].alias("seq"), x["seq2"].alias("seq2")))))
+    # two hashes of different seeds: 128 bits tell the keys of any number of reads apart
+    reads = reads.withColumn("_key", F.struct(mapped.alias("mapped"), F.xxhash64(what).alias("one"), F.xxhash64(F.lit(2), what).alias("two")))
     groups = reads.groupBy("_key").agg(F.min("first").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     again = reads.join(groups, "_key").where(F.lit(True) if mark_first else F.col("first") > F.col("_first")).select("qname", F.lit(True).alias("duplicate"))
     out = sam.join(again, "qname", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))

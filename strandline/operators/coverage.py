@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def depth_runs(intervals: DataFrame, closed: bool = False, weight: str | None = None) -> DataFrame:
-    """(div, start, end, depth): runs of equal depth from position 1 to the last change, by div.
+def depth_runs(intervals: DataFrame, closed: bool = False, weight: str | None = None, lengths: DataFrame | None = None) -> DataFrame:
+    """(div, start, end, depth): runs of equal depth from position 1 to the last change, by div, or to the div's end where lengths (div, length) are given.
 
     An interval adds its weight (1) at low and takes it off at high, so that its last position does not count (nor does a point), unless
     closed. Points without a net change make no break; runs of no length are left out. Changes are summed by position before the
@@ -18,6 +18,8 @@ def depth_runs(intervals: DataFrame, closed: bool = False, weight: str | None =
     changes = intervals.select("div", ends).groupBy("div", F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("d")).where("d <> 0")
     by = Window.partitionBy("div").orderBy("pos")
     runs = changes.select("div", F.col("pos").alias("start"), (F.lead("pos").over(by) - 1).alias("end"), F.sum("d").over(by).alias("depth"))
+    if lengths is not None:  # the last run, of depth 0, to the end of the div
+        runs = runs.join(lengths.select("div", "length"), "div", "left").withColumn("end", F.coalesce("end", F.when(F.col("start") <= F.col("length"), F.col("length")))).drop("length")
     lead_in = changes.groupBy("div").agg(F.min("pos").alias("first")).select("div", F.lit(1).cast("long").alias("start"), (F.col("first") - 1).alias("end"), F.lit(0).cast("long").alias("depth"))
     return runs.where("end IS NOT NULL").union(lead_in.where("end >= 1"))
 
@@ -69,23 +71,32 @@ def extents(intervals: DataFrame) -> DataFrame:
     return counted.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("long"))
 
 
-def change_points(rows: DataFrame, pseudo: float = 12.0, by: str = "div", order: str = "position", hits: str = "hits", total: str = "total") -> DataFrame:
-    """(by, position, gain): the split of each series into two binomial parts that lowers the squared error most.
+def change_points(rows: DataFrame, side: str = "left", pseudo: float = 12.0, slack: float = 0.1, by: str = "div", order: str = "position", hits: str = "hits", total: str = "total") -> DataFrame:
+    """(by, edge, hits, total): where each series splits into a better part and a worse one at its left (or right) end, by the Chow test.
 
-    hits of total trials are given at each place. Part rates are smoothed by pseudo trials at the rate of the whole series.
-    A split lies after a row; the first of equal splits counts. Series with one row have none.
+    hits of total trials are given at each place. Counted from the far end, a part is what lies at and beyond a place and the rest is the end that is worse: its rate, smoothed
+    by pseudo trials at the rate of the whole series, must be lower by more than slack. Of these splits the one of the least squared error counts,
+    the first met of equal ones, if it is below that of the whole; edge is its place, and hits and total those of the worse end. Without any edge is null and
+    both counts are 0. The place at the end itself is never split off.
     """
-    w = Window.partitionBy(by)
-    upto = w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    x = rows.withColumn("a", F.sum(hits).over(upto)).withColumn("n", F.sum(total).over(upto)).withColumn("ta", F.sum(hits).over(w)).withColumn("tn", F.sum(total).over(w))
-    rate = F.col("ta") / F.col("tn")
-    left = (F.col("a") + pseudo * rate) / (F.col("n") + pseudo)
-    right = (F.col("ta") - F.col("a") + pseudo * rate) / (F.col("tn") - F.col("n") + pseudo)
-    # the error that a part's own rate takes off, against the common rate
-    gain = F.col("n") * F.pow(left - rate, F.lit(2)) + (F.col("tn") - F.col("n")) * F.pow(right - rate, F.lit(2))
-    x = x.withColumn("gain", F.round(gain, 9)).where(F.col("n") < F.col("tn"))
-    best = x.groupBy(by).agg(F.max(F.struct("gain", (-F.col(order)).alias("o"))).alias("b"))
-    return best.select(by, (-F.col("b.o")).alias("position"), F.col("b.gain").alias("gain"))
+    left, w = side == "left", Window.partitionBy(by)
+    so_far = w.orderBy(F.desc(order) if left else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    x = rows.withColumn("_x", F.sum(hits).over(w)).withColumn("_n", F.sum(total).over(w)).withColumn("_end", F.min(order).over(w))
+    x = x.where(F.col(order) > F.col("_end"))  # on either side the first place stays with the end that is judged
+    x = x.withColumn("_a", F.sum(hits).over(so_far)).withColumn("_m", F.sum(total).over(so_far))
+    rate = F.col("_x") / F.col("_n")
+
+    def part(a: F.Column, m: F.Column) -> tuple[F.Column, F.Column]:
+        theta = (a + pseudo * rate) / (m + pseudo)
+        return theta, a * (1 - theta) * (1 - theta) + (m - a) * theta * theta
+
+    a, m = F.col("_x") - F.col("_a"), F.col("_n") - F.col("_m")
+    (past, rss_past), (future, rss_future) = part(F.col("_a"), F.col("_m")), part(a, m)
+    error = rss_past + rss_future
+    split = (error > 0) & (future < past - slack) & (error < F.col("_x") * (F.col("_n") - F.col("_x")) / F.col("_n"))
+    best = x.where(split).groupBy(by).agg(F.min(F.struct(error.alias("error"), (-F.col(order) if left else F.col(order)).alias("first"), F.col(order).alias("edge"), a.alias("hits"), m.alias("total"))).alias("b"))
+    found = rows.select(by).distinct().join(best, by, "left")
+    return found.select(by, F.col("b.edge").alias("edge"), F.coalesce("b.hits", F.lit(0)).alias("hits"), F.coalesce("b.total", F.lit(0)).alias("total"))
 
 
 def islands(rows: DataFrame, gap: int, by: tuple[str, ...] = ("div",), position: str = "position") -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: Width of a bin by default: near the longest usual interval, so that most intervals lie in one or two bins.
 BIN = 64
-#: Sequences of a genome up to which their table is broadcast.
-LOCATED = 10_000
+#: Width of a bin of universal positions.
+LOCATED = 1 << 20
 
 
 def _bins(low: Column, high: Column, size: int) -> Column:
@@ -33,7 +33,9 @@ def overlap_join(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ("div"
     how is inner or left_semi (each left row once if it overlaps anything). condition may use both sides' columns.
     Null bounds or keys match nothing.
     """
-    l = left.where(F.col("low") <= F.col("high")).withColumn("_bin", F.explode(_bins(F.col("low"), F.col("high"), size)))
+    l = left.where(F.col("low") <= F.col("high"))
+    l = l.withColumn("_row", F.monotonically_increasing_id()) if how == "left_semi" else l
+    l = l.withColumn("_bin", F.explode(_bins(F.col("low"), F.col("high"), size)))
     r = right.where(F.col("low") <= F.col("high")).select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
     r = r.withColumn("_rbin", F.explode(_bins(F.col("r_low"), F.col("r_high"), size)))
     test = F.col("_bin") == F.col("_rbin")
@@ -44,7 +46,7 @@ def overlap_join(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ("div"
     if condition is not None:
         test = test & condition
     if how == "left_semi":  # the bin where an overlap begins is not the same for every partner, so a left row may come in several
-        return l.join(r, test, "left_semi").drop("_bin").dropDuplicates(left.columns)
+        return l.join(r, test, "left_semi").dropDuplicates(["_row"]).drop("_bin", "_row")
     return l.join(r, test).drop("_bin", "_rbin")
 
 
@@ -98,21 +100,19 @@ def neighbours(left: DataFrame, right: DataFrame, n: int = 1, side: str = "right
 def locate(positions: DataFrame, chromosomes: DataFrame, position: str = "pos") -> DataFrame:
     """Adds chrom, chrnum and chrpos to universal positions (from 1). chromosomes: chrnum, chrom, offset, length, a row per sequence.
 
-    A position beyond the last chromosome belongs to it, as to the left neighbour; one before the first to the first. Up to LOCATED sequences
-    the table is broadcast; beyond that both sides meet in bins of universal positions.
+    A position beyond the last chromosome belongs to it, as to the left neighbour; one before the first to the first. Both sides meet in bins of
+    universal positions, an equi-join whatever the number of sequences.
     """
     by = Window.orderBy("offset")  # one row a sequence
     ends = chromosomes.select("chrnum", "chrom", F.col("offset").cast("long").alias("offset")).withColumn("_end", F.lead("offset").over(by)).withColumn("_first", F.row_number().over(by) == 1)
     test = ((F.col(position) > F.col("offset")) | F.col("_first")) & (F.col("_end").isNull() | (F.col(position) <= F.col("_end")))
-    if ends.count() <= LOCATED:
-        met = positions.join(F.broadcast(ends), test)
-    else:
-        size = 1 << 20
-        top = F.coalesce("_end", F.col("offset"))
-        spread = ends.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("offset") + 1) / size), F.floor(top / size))))
-        last = ends.agg(F.max("offset"), F.min("offset")).first()
-        held = F.least(F.greatest(F.col(position), F.lit(last[1] + 1)), F.lit(last[0] + 1))
-        met = positions.withColumn("_pbin", F.floor(held / size)).join(spread, (F.col("_bin") == F.col("_pbin")) & test).drop("_bin", "_pbin")
+    top = F.coalesce("_end", F.col("offset"))
+    spread = ends.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("offset") + 1) / LOCATED), F.floor(F.greatest(top, F.col("offset") + 1) / LOCATED))))
+    last = ends.agg(F.max("offset"), F.min("offset")).first()
+    if last[0] is None:
+        return positions.limit(0).crossJoin(chromosomes.select("chrnum", "chrom").limit(0)).withColumn("chrpos", F.col(position))
+    held = F.least(F.greatest(F.col(position), F.lit(last[1] + 1)), F.lit(last[0] + 1))
+    met = positions.withColumn("_pbin", F.floor(held / LOCATED)).join(spread, (F.col("_bin") == F.col("_pbin")) & test).drop("_bin", "_pbin")
     return met.withColumn("chrpos", F.col(position) - F.col("offset")).drop("offset", "_end", "_first")
 
 

@@ -2,16 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions import sequence as sq
 
+#: Bases of a sequence that are taken at once.
+PART = 1 << 20
+_DIGITS = np.full(256, 4, np.uint8)
+_DIGITS[list(b"ACGT")] = range(4)
+
+
+def rolling_codes(seq: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code, whether it has no other letter than ACGT) of every window of k bases, put together from windows of powers of two."""
+    bases = _DIGITS[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
+    wrong = np.concatenate([[0], np.cumsum(bases > 3)])
+    n = len(bases) - k + 1
+    if n < 1:
+        return np.empty(0, np.int64), np.empty(0, bool)
+    power, width, out, at = bases.astype(np.int64) & 3, 1, np.zeros(n, np.int64), 0
+    for bit in range(k.bit_length()):
+        if k >> bit & 1:  # the bases at the end of a window first, so that they come lowest
+            out |= power[k - at - width : k - at - width + n] << (2 * at)
+            at += width
+        power, width = (power[:-width] << (2 * width)) | power[width:] if len(power) > width else power[:0], 2 * width
+    return out, wrong[k:] == wrong[:-k]
+
 
 def kmer_positions(sequences: DataFrame, k: int, interval: int = 1, key: str = "id", seq: str = "seq") -> DataFrame:
-    """(kmer, key, pos): a row per sampled window without other letters than ACGT; kmer is a code of two bits a base, pos counts from 0."""
-    rows = sequences.select(key, F.explode(sq.kmers(F.col(seq), k, interval)).alias("x"))
-    return rows.select(sq.kmer_code(F.col("x.kmer")).alias("kmer"), key, F.col("x.pos").alias("pos"))
+    """(kmer, key, pos): a row per sampled window without other letters than ACGT; kmer is a code of two bits a base (k up to 31), pos counts from 0.
+
+    Linear in the length of a sequence, and in parts of PART bases of a long one. A null sequence has no windows.
+    """
+    schema = StructType([StructField("kmer", LongType()), sequences.schema[key], StructField("pos", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, rows, places, held = [], [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                arrays = [pa.array(np.concatenate(codes)), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places).astype(np.int32))]
+                return pa.RecordBatch.from_arrays(arrays, ["kmer", key, "pos"])
+
+            for i, value in enumerate(batch.column(1)):
+                text = value.as_py() or ""
+                step = PART // interval * interval
+                for start in range(0, max(len(text) - k + 1, 0), step):
+                    code, good = rolling_codes(text[start : start + step + k - 1], k)
+                    at = np.flatnonzero(good[::interval]) * interval
+                    codes.append(code[at])
+                    places.append(at + start)
+                    rows.append(np.full(len(at), i, np.int64))
+                    held += len(at)
+                    if held > PART:
+                        yield flush()
+                        codes, rows, places, held = [], [], [], 0
+            if held:
+                yield flush()
+
+    return sequences.select(key, seq).mapInArrow(run, schema)
 
 
 def kmer_counts(positions: DataFrame) -> DataFrame:
@@ -28,12 +82,17 @@ def reduced_positions(positions: DataFrame, k: int, mode: str, plus: bool = True
     return positions.withColumn("kmer", sq.kmer_code(sq.reduce_bases(sq.kmer_text(F.col("kmer"), k), mode, plus)))
 
 
-def without_frequent(positions: DataFrame, most: int) -> DataFrame:
-    """The index without k-mers of more than most positions, which are cut before any join so that no key of it is hot."""
-    rare = kmer_counts(positions).where(F.col("n") <= most).select("kmer")
+def without_frequent(positions: DataFrame, most: float | None = None) -> DataFrame:
+    """The index without k-mers of more than most positions (frequency_limit() by default), which are cut before any join so that no key of it is hot."""
+    rare = kmer_counts(positions).where(F.col("n") <= (frequency_limit(positions).first()[0] if most is None else most)).select("kmer")
     return positions.join(rare, "kmer", "left_semi")
 
 
+def frequency_limit(positions: DataFrame, factor: int = 10, least: int = 100) -> DataFrame:
+    """One row (most): the places above which a k-mer counts as frequent, a multiple of the mean and at least so many."""
+    return kmer_counts(positions).agg(F.greatest(F.lit(float(least)), factor * F.coalesce(F.avg("n"), F.lit(0.0))).alias("most"))
+
+
 def repeated_kmers(positions: DataFrame, key: str = "id") -> DataFrame:
     """The positions with a flag repeated: the k-mer comes twice or more in its sequence."""
     again = positions.groupBy(key, "kmer").agg((F.count("*") > 1).alias("repeated"))

@@ -89,7 +89,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("chr_to_pos", f"WITH {_CHROMS} SELECT c_custkey AS id, \"offset\" + c_custkey % 100 + 1 AS pos FROM customer JOIN chroms ON chrnum = c_nationkey")
 def _(t: Tables) -> DataFrame:
-    c = F.broadcast(_chromosomes(t).select("chrnum", "offset"))
+    c = _chromosomes(t).select("chrnum", "offset")
     named = t("customer").join(c, F.col("c_nationkey") == F.col("chrnum") - 1)
     return named.select(F.col("c_custkey").alias("id"), (F.col("offset") + F.col("c_custkey") % 100 + 1).alias("pos"))
 
@@ -177,6 +177,12 @@ def _(t: Tables) -> DataFrame:
     return coverage.depth_runs(t("iv"), closed=True)
 
 
+@query("depth_runs_whole", f"""SELECT div, start, coalesce("end", length) AS "end", depth FROM ({_DEPTH.format(s='iv', closed='').replace('WHERE "end" IS NOT NULL', '')}) d JOIN (SELECT div AS dv, max(high) + 5 AS length FROM iv GROUP BY div) ON dv = div""", ("iv",))
+def _(t: Tables) -> DataFrame:
+    lengths = t("iv").groupBy("div").agg((F.max("high") + 5).alias("length"))
+    return coverage.depth_runs(t("iv"), lengths=lengths)
+
+
 _TALLY = """WITH lines AS (SELECT conv_id AS id, role AS div, turn AS position, CAST(coalesce(list_sum(list_transform(regexp_extract_all(coalesce(text, ''), '\\d+'), lambda x: CAST(x AS BIGINT))), 0) AS BIGINT) AS count FROM conversations)"""
 
 
@@ -196,11 +202,9 @@ def _quantities(t: Tables) -> DataFrame:
     return t("lineitem").selectExpr("l_orderkey AS id", "l_returnflag AS div", "CAST(l_linenumber AS BIGINT) AS position", "CAST(l_quantity AS BIGINT) AS count")
 
 
-@query("tally_running", f"SELECT id, position, div, count, CAST(coalesce(sum(count) OVER (PARTITION BY id ORDER BY position, div, count ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS running_before FROM ({_QUANTITY} QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)")
+@query("tally_running", f"SELECT id, position, div, count, CAST(coalesce(sum(count) OVER (PARTITION BY id ORDER BY position, div, count ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS running_before FROM ({_QUANTITY})")
 def _(t: Tables) -> DataFrame:
-    rows = _quantities(t)
-    once = rows.join(rows.groupBy("id", "position").count().where("count = 1").drop("count"), ["id", "position"])
-    return coverage.running_before(once, ("position", "div", "count"), by=("id",)).select("id", "position", "div", "count", "running_before")
+    return coverage.running_before(_quantities(t), ("position", "div", "count"), by=("id",)).select("id", "position", "div", "count", "running_before")
 
 
 @query("tally_stats", f"SELECT div, CAST(sum(count) AS BIGINT) AS counts, CAST(3 AS BIGINT) AS width, sum(count) / 3 AS mean FROM ({_QUANTITY}) WHERE position BETWEEN 2 AND 4 GROUP BY div")
@@ -234,10 +238,24 @@ def _(t: Tables) -> DataFrame:
     return coverage.islands(t("iv").withColumn("position", F.col("low")), 6).select("id", F.col("island").cast("long").alias("island"))
 
 
-@query("change_point", """WITH s AS (SELECT l_returnflag AS div, l_linenumber AS position, CAST(sum(l_quantity) AS BIGINT) AS hits, count(*) * 50 AS total FROM lineitem GROUP BY ALL),
-x AS (SELECT *, sum(hits) OVER o AS a, sum(total) OVER o AS n, sum(hits) OVER w AS ta, sum(total) OVER w AS tn FROM s WINDOW w AS (PARTITION BY div), o AS (PARTITION BY div ORDER BY position ROWS UNBOUNDED PRECEDING)),
-g AS (SELECT *, round(n * pow((a + 12 * (ta / tn)) / (n + 12) - ta / tn, 2) + (tn - n) * pow((ta - a + 12 * (ta / tn)) / (tn - n + 12) - ta / tn, 2), 9) AS gain FROM x WHERE n < tn)
-SELECT div, position, gain FROM g QUALIFY row_number() OVER (PARTITION BY div ORDER BY gain DESC, position) = 1""")
+_CHANGE = """WITH s AS (SELECT event_type AS div, event_id AS position, CAST(CAST(floor(abs(value)) AS BIGINT) % 7 >= {step} AS BIGINT) AS hits, CAST(1 AS BIGINT) AS total FROM events),
+x AS (SELECT *, sum(hits) OVER w AS x, sum(total) OVER w AS n, min(position) OVER w AS first FROM s WINDOW w AS (PARTITION BY div)),
+y AS (SELECT *, sum(hits) OVER o AS xp, sum(total) OVER o AS np FROM x WHERE position > first WINDOW o AS (PARTITION BY div ORDER BY position {order} ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT *, x - xp AS xf, n - np AS nf, (xp + 12.0::DOUBLE * (x / n)) / (np + 12.0::DOUBLE) AS tp, (x - xp + 12.0::DOUBLE * (x / n)) / (n - np + 12.0::DOUBLE) AS tf FROM y),
+r AS (SELECT *, (xp * (1 - tp) * (1 - tp) + (np - xp) * tp * tp) + (xf * (1 - tf) * (1 - tf) + (nf - xf) * tf * tf) AS error FROM t),
+b AS (SELECT * FROM r WHERE error > 0 AND tf < tp - 0.1::DOUBLE AND error < x * (n - x) / n QUALIFY row_number() OVER (PARTITION BY div ORDER BY error, position {order}) = 1)
+SELECT d.div, b.position AS edge, CAST(coalesce(xf, 0) AS BIGINT) AS hits, CAST(coalesce(nf, 0) AS BIGINT) AS total FROM (SELECT DISTINCT div FROM s) d LEFT JOIN b USING (div)"""
+
+
+def _matches(t: Tables, step: str) -> DataFrame:
+    return t("events").selectExpr("event_type AS div", "event_id AS position", f"CAST(CAST(floor(abs(value)) AS BIGINT) % 7 >= {step} AS BIGINT) AS hits", "CAST(1 AS BIGINT) AS total")
+
+
+@query("change_point", _CHANGE.format(step="CASE WHEN event_id < 300 THEN 5 ELSE 2 END", order="DESC"))
+def _(t: Tables) -> DataFrame:
+    return coverage.change_points(_matches(t, "CASE WHEN event_id < 300 THEN 5 ELSE 2 END"))
+
+
+@query("change_point_right", _CHANGE.format(step="CASE WHEN event_id > 700 THEN 5 ELSE 2 END", order="ASC"))
 def _(t: Tables) -> DataFrame:
-    series = t("lineitem").groupBy(F.col("l_returnflag").alias("div"), F.col("l_linenumber").alias("position")).agg(F.sum("l_quantity").cast("long").alias("hits"), (F.count("*") * 50).alias("total"))
-    return coverage.change_points(series)
+    return coverage.change_points(_matches(t, "CASE WHEN event_id > 700 THEN 5 ELSE 2 END"), "right")

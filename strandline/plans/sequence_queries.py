@@ -92,11 +92,11 @@ def _(t: Tables) -> DataFrame:
 
 
 #: A whole text's bases against the sampled index of all others; k-mers with many places are cut first.
-_SEEDS = f"WITH {_KMERS.format(k=15, step=3)}, q AS (SELECT id, i - 1 AS pos, substring(seq, CAST(i AS INTEGER), 15) AS kmer FROM (SELECT id, seq, unnest(range(1, length(seq) - 13)) AS i FROM seqs WHERE length(seq) >= 15)), rare AS (SELECT kmer FROM k GROUP BY kmer HAVING count(*) <= 20), s AS (SELECT q.id AS query, k.id AS target, q.pos AS qpos, k.pos AS pos, k.pos - q.pos AS diagonal FROM q JOIN k USING (kmer) JOIN rare USING (kmer) WHERE q.id <> k.id)"
+_SEEDS = f"WITH {_KMERS.format(k=15, step=3)}, q AS (SELECT id, i - 1 AS pos, substring(seq, CAST(i AS INTEGER), 15) AS kmer FROM (SELECT id, seq, unnest(range(1, length(seq) - 13)) AS i FROM seqs WHERE length(seq) >= 15)), c AS (SELECT kmer, count(*) AS n FROM k GROUP BY kmer), rare AS (SELECT kmer FROM c WHERE n <= (SELECT greatest(100, 10 * avg(n)) FROM c)), s AS (SELECT q.id AS query, k.id AS target, q.pos AS qpos, k.pos AS pos, k.pos - q.pos AS diagonal FROM q JOIN k USING (kmer) JOIN rare USING (kmer) WHERE q.id <> k.id)"
 
 
 def _seeds(t: Tables) -> DataFrame:
-    index = kmers.without_frequent(kmers.kmer_positions(t("seqs"), 15, 3), 20)
+    index = kmers.without_frequent(kmers.kmer_positions(t("seqs"), 15, 3))
     return kmers.seeds(kmers.kmer_positions(t("seqs"), 15), index).where("query <> target")
 
 
