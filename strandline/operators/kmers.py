@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from ..functions import sequence as sq
 
@@ -123,18 +123,24 @@ def intersect_diagonals(one: DataFrame, two: DataFrame) -> DataFrame:
 def collapse_diagonals(found: DataFrame, reach: int = 12) -> DataFrame:
     """The seeds with base: the diagonal that stands for each. From the lowest on, diagonals within reach of a base take it; the next one is a new base.
 
-    A fold along the distinct diagonals of one query and target, within the row that gathers them (their number is bounded
-    by the lengths of both).
+    The distinct diagonals of one query and target (their number is bounded by the lengths of both) are gone through once, base by base.
     """
-    start = F.struct(F.lit(None).cast("long").alias("base"), F.array().cast("array<struct<d:bigint,base:bigint>>").alias("out"))
 
-    def step(s: Column, d: Column) -> Column:
-        base = F.when(s["base"].isNotNull() & (d - s["base"] <= reach), s["base"]).otherwise(d)
-        return F.struct(base.alias("base"), F.concat(s["out"], F.array(F.struct(d.alias("d"), base.alias("base")))).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bases = []
+            for value in batch.column("ds"):
+                ds = value.values.to_numpy()
+                own, at = np.empty_like(ds), 0
+                while at < len(ds):
+                    end = int(np.searchsorted(ds, ds[at] + reach, "right"))
+                    own[at:end], at = ds[at], end
+                bases.append(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bases, pa.list_(pa.int64()))], [*batch.schema.names, "bases"])
 
     lists = found.groupBy("query", "target").agg(F.sort_array(F.collect_set(F.col("diagonal").cast("long"))).alias("ds"))
-    mapped = lists.select("query", "target", F.explode(F.aggregate("ds", start, step, lambda s: s["out"])).alias("x"))
-    return found.join(mapped.select("query", "target", F.col("x.d").alias("diagonal"), F.col("x.base").alias("base")), ["query", "target", "diagonal"])
+    mapped = lists.mapInArrow(run, StructType([*lists.schema.fields, StructField("bases", ArrayType(LongType()))])).select("query", "target", F.explode(F.arrays_zip("ds", "bases")).alias("x"))
+    return found.join(mapped.select("query", "target", F.col("x.ds").alias("diagonal"), F.col("x.bases").alias("base")), ["query", "target", "diagonal"])
 
 
 def uniqueness_profile(sequences: DataFrame, index: DataFrame, k: int, key: str = "id", seq: str = "seq") -> DataFrame:

@@ -20,6 +20,8 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
         if sql:
             head = with_sql(*uses) if uses else ""
             text = sql.strip()
+            if text.upper().startswith("WITH RECURSIVE "):  # the word stands for all of a WITH clause
+                head, text = head.replace("WITH", "WITH RECURSIVE", 1), "WITH " + text[15:]
             SQL[name] = f"{head}, {text[5:]}" if head and text[:5].upper() == "WITH " else f"{head} {text}"
         return f
 

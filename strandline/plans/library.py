@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import interval_queries, sequence_queries  # noqa: F401  they register their queries
+from . import interval_queries, region_queries, sequence_queries  # noqa: F401  they register their queries
 from .catalog import QUERIES, SQL
 
 

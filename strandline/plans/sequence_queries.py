@@ -116,7 +116,9 @@ def _(t: Tables) -> DataFrame:
     return kmers.intersect_diagonals(found.where("qpos < 40"), found.where("qpos >= 40")).withColumn("diagonal", F.col("diagonal").cast("long"))
 
 
-@query("collapse_diag")
+@query("collapse_diag", f"""{_SEEDS.replace('WITH', 'WITH RECURSIVE', 1)}, ds AS (SELECT query, target, list_sort(list(DISTINCT CAST(diagonal AS BIGINT))) AS d FROM s GROUP BY query, target),
+bases AS (SELECT query, target, d, d[1] AS base FROM ds UNION ALL SELECT query, target, d, list_filter(d, lambda x: x > base + 12)[1] FROM bases WHERE d[len(d)] > base + 12)
+SELECT query, target, base, count(*) AS n FROM s JOIN bases USING (query, target) WHERE diagonal BETWEEN base AND base + 12 GROUP BY query, target, base""", ("seqs",))
 def _(t: Tables) -> DataFrame:
     return kmers.collapse_diagonals(_seeds(t)).groupBy("query", "target", "base").agg(F.count("*").alias("n"))
 
@@ -230,7 +232,10 @@ def _(t: Tables) -> DataFrame:
     return t("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), al.cigar_of(ops).alias("cigar"))
 
 
-@query("md_string")
+@query("md_string", """WITH p AS (SELECT id, length(seq) - 1 AS n, unnest(range(1, length(seq))) AS i, seq FROM seqs WHERE length(seq) > 1),
+d AS (SELECT id, i, seq[i + 1] AS g, i - coalesce(lag(i) OVER (PARTITION BY id ORDER BY i), 0) - 1 AS run FROM p WHERE seq[i] <> seq[i + 1]),
+m AS (SELECT id, string_agg(run || g, '' ORDER BY i) AS text, max(i) AS last FROM d GROUP BY id)
+SELECT id, coalesce(text, '') || (length(seq) - 1 - coalesce(last, 0)) AS md FROM seqs LEFT JOIN m USING (id) WHERE length(seq) > 1""", ("seqs",))
 def _(t: Tables) -> DataFrame:
     rows = t("seqs").where(F.length("seq") > 1)
     return rows.select("id", al.md_string(F.expr("substring(seq, 1, length(seq) - 1)"), F.expr("substring(seq, 2)")).alias("md"))
@@ -301,9 +306,12 @@ def _(t: Tables) -> DataFrame:
     return alignments.suppress_excess(t("hits"), 4).select("read", "hit", "pos")
 
 
-@query("tie_break")
+@query("tie_break", "SELECT DISTINCT read, CAST(1 AS BIGINT) AS chosen, max(matches) OVER (PARTITION BY read) AS matches, true AS repeatable FROM hits", ("hits",))
 def _(t: Tables) -> DataFrame:
-    return alignments.ranked(t("hits"), [F.desc("matches"), alignments.shuffled_ties(7, "read", "hit", "pos")], n=1).select("read", "hit", "pos")
+    """Which of the best hits stays is up to the seed; one does, it is a best one, and the same seed chooses it again."""
+    best = [alignments.ranked(t("hits"), [F.desc("matches"), alignments.shuffled_ties(7, "read", "hit", "pos")], n=1).select("read", "hit", "pos", "matches") for _ in range(2)]
+    again = best[0].join(best[1].withColumn("same", F.lit(True)), ["read", "hit", "pos", "matches"], "left")
+    return again.groupBy("read").agg(F.count("*").alias("chosen"), F.max("matches").alias("matches"), F.bool_and(F.coalesce("same", F.lit(False))).alias("repeatable"))
 
 
 @query("path_order", """SELECT read, hit, pos, CAST(row_number() OVER (PARTITION BY read ORDER BY mism % 2, mism % 3, score DESC, matches DESC, pos, hit) AS INTEGER) AS rank FROM hits""", ("hits",))

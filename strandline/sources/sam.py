@@ -54,7 +54,7 @@ def failed_reads(reads: DataFrame, fastq: bool = True) -> DataFrame:
 
 def m8_line() -> Column:
     """BLAST tabular: acc, chrom, identity in percent, length, mismatches, gap openings, query range, genome range, e-value, bit score."""
-    return F.concat_ws("\t", "acc", "chrom", F.format_string("%.1f", 100 * F.col("identity")), *(F.col(c).cast("string") for c in ("length", "mism")), F.lit("0"), *(F.col(c).cast("string") for c in ("qstart", "qend", "gstart", "gend")), F.format_string("%.1e", F.col("evalue")), F.format_string("%.1f", F.col("bits")))
+    return F.concat_ws("\t", "acc", "chrom", F.format_string("%.1f", F.bround(100 * F.col("identity"), 1)), *(F.col(c).cast("string") for c in ("length", "mism")), F.lit("0"), *(F.col(c).cast("string") for c in ("qstart", "qend", "gstart", "gend")), F.format_string("%.1e", F.col("evalue")), F.format_string("%.1f", F.col("bits")))
 
 
 def gff3_lines(source: str = "strandline") -> Column:
