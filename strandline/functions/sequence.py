@@ -105,15 +105,16 @@ def longest_orf(seq: Column, full_length: bool = False) -> Column:
     and the earlier start. start is the offset of its first base; null if there is none.
     """
     first = r"M[^*]*\*?" if full_length else r"^[^*]+\*?|M[^*]*\*?"
-    def found(protein: Column, f: int) -> Column:
+
+    def found(protein: Column, f: Column) -> Column:
         # the longest first; of equal ones that of the lower frame, then the earlier one
         return F.transform(
             F.regexp_extract_all(protein, F.lit(f"({first})"), F.lit(1)),
-            lambda x: F.struct(F.length(x).alias("n"), F.lit(-f).alias("order"), (-F.position(x, protein)).alias("at"), x.alias("protein")),
+            lambda x: F.struct(F.length(x).alias("n"), (-f).alias("order"), (-F.position(x, protein)).alias("at"), x.alias("protein")),
         )
 
-    options = [found(translate(seq, f), f) for f in range(3)]
-    best = F.array_max(F.concat(*options))
+    # each protein is bound once as an element of an array, not worked out again for each of its frames
+    best = F.array_max(F.flatten(F.transform(F.array(*(translate(seq, f) for f in range(3))), found)))
     return F.when(best.isNotNull(), F.struct((-best["order"]).alias("frame"), (-best["order"] + (-best["at"] - 1) * 3).alias("start"), best["protein"].alias("protein")))
 
 

@@ -151,7 +151,10 @@ def _(t: Tables) -> DataFrame:
     return t("seqs").select("id", frames).select("id", "x.frame", "x.protein")
 
 
-@query("orf")
+@query("orf", "WITH p AS (" + " UNION ALL ".join(f"SELECT id, {f} AS f, {_PROTEIN.format(f=f + 1)} AS protein FROM seqs" for f in range(3)) + r"""),
+x AS (SELECT id, f, protein, unnest(regexp_extract_all(protein, '(^[^*]+\*?|M[^*]*\*?)', 1)) AS orf FROM p),
+y AS (SELECT id, f, strpos(protein, orf) AS spot, orf FROM x QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(orf) DESC, f, strpos(protein, orf)) = 1)
+SELECT id, f AS frame, CAST(f + (spot - 1) * 3 AS INTEGER) AS start, orf AS protein FROM seqs LEFT JOIN y USING (id)""", ("seqs",))
 def _(t: Tables) -> DataFrame:
     return t("seqs").select("id", sq.longest_orf(F.col("seq")).alias("x")).select("id", "x.frame", "x.start", "x.protein")
 
