@@ -68,3 +68,16 @@ def test_one_row_of_each_class_stays(spark):
     frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fp string")
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()), key=repr)
     assert got == sorted([(3, "same words in here"), (3, "quite another text than that"), (None, "no id at all"), (8, "")], key=repr)
+
+
+def test_columns_of_any_name_pass_through(spark, tmp_path):
+    folder = str(tmp_path)
+    tables(spark, folder)
+    names = ["_id", "_key", "_row", "_hash", "_score", "score", "row", "id", "key", "at", "stay", "hash", "hit_id", "hit_hash", "fp", "n"]
+    extra = ", ".join(f"{n} string" for n in names)
+    rows = [(1, "some words of a text", *names), (1, "some words of a text", *names), (2, "others that stay here", *names)]
+    frame = spark.createDataFrame(rows, f"doc_id long, text string, {extra}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, frame, folder)
+        assert got.columns == frame.columns, name
+        assert {tuple(r[n] for n in names) for r in got.collect()} == {tuple(names)}, name
