@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Width of a bin by default: near the longest usual interval, so that most intervals lie in one or two bins.
 BIN = 64
 #: Width of a bin of universal positions.
-LOCATED = 1 << 20
+PLACE_BIN = 1 << 20
 
 
 def _bins(low: Column, high: Column, size: int) -> Column:
@@ -107,12 +107,12 @@ def locate(positions: DataFrame, chromosomes: DataFrame, position: str = "pos")
     ends = chromosomes.select("chrnum", "chrom", F.col("offset").cast("long").alias("offset")).withColumn("_end", F.lead("offset").over(by)).withColumn("_first", F.row_number().over(by) == 1)
     test = ((F.col(position) > F.col("offset")) | F.col("_first")) & (F.col("_end").isNull() | (F.col(position) <= F.col("_end")))
     top = F.coalesce("_end", F.col("offset"))
-    spread = ends.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("offset") + 1) / LOCATED), F.floor(F.greatest(top, F.col("offset") + 1) / LOCATED))))
+    spread = ends.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("offset") + 1) / PLACE_BIN), F.floor(F.greatest(top, F.col("offset") + 1) / PLACE_BIN))))
     last = ends.agg(F.max("offset"), F.min("offset")).first()
     if last[0] is None:
         return positions.limit(0).crossJoin(chromosomes.select("chrnum", "chrom").limit(0)).withColumn("chrpos", F.col(position))
     held = F.least(F.greatest(F.col(position), F.lit(last[1] + 1)), F.lit(last[0] + 1))
-    met = positions.withColumn("_pbin", F.floor(held / LOCATED)).join(spread, (F.col("_bin") == F.col("_pbin")) & test).drop("_bin", "_pbin")
+    met = positions.withColumn("_pbin", F.floor(held / PLACE_BIN)).join(spread, (F.col("_bin") == F.col("_pbin")) & test).drop("_bin", "_pbin")
     return met.withColumn("chrpos", F.col(position) - F.col("offset")).drop("offset", "_end", "_first")
 
 

@@ -64,8 +64,8 @@ def test_locate(spark, monkeypatch):
     assert [(r.chrom, r.offset) for r in table.orderBy("chrnum").collect()] == [("chr2", 0), ("chr10", 50), ("X", 80)]
     points = spark.createDataFrame([(p,) for p in (1, 50, 51, 80, 81, 100, 500, 0)], "pos long")
     want = {(1, "chr2", 1), (50, "chr2", 50), (51, "chr10", 1), (80, "chr10", 30), (81, "X", 1), (100, "X", 20), (500, "X", 420), (0, "chr2", 0)}
-    for most in (10_000, 0):
-        monkeypatch.setattr(intervals, "LOCATED", most)
+    for width in (1 << 20, 7, 1):
+        monkeypatch.setattr(intervals, "PLACE_BIN", width)
         assert {(r.pos, r.chrom, r.chrpos) for r in intervals.locate(points, table).collect()} == want
 
 
