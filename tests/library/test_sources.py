@@ -146,7 +146,7 @@ def test_sam(spark, tmp_path):
 def test_other_formats(spark):
     row = spark.sql("SELECT 'q' acc, 'c1' chrom, 0.975D identity, 40L length, 1L mism, 1L qstart, 40L qend, 5L gstart, 44L gend, 1e-9D evalue, 60.25D bits, 39L matches, '+' strand, 50L qlength, 900L clength, array(named_struct('qstart', 0L, 'gstart', 4L, 'length', 20L), named_struct('qstart', 20L, 'gstart', 124L, 'length', 20L)) blocks, 't' transcript, 'g' gene, array(named_struct('start', 5L, 'end', 24L), named_struct('start', 125L, 'end', 144L)) exons")
     m8, psl, gff = row.select(sam.m8_line(), sam.psl_line(), sam.gff3_lines()).first()
-    assert m8.split("\t")[2] == "97.50" and len(m8.split("\t")) == 12
+    assert m8.split("\t")[2] == "97.5" and len(m8.split("\t")) == 12
     assert psl.split("\t") == "39 1 0 0 0 0 1 100 + q 50 0 40 c1 900 4 144 2 20,20, 0,20, 4,124,".split()
     assert [x.split("\t")[2] for x in gff.splitlines()[:-1]] == ["gene", "mRNA", "exon", "exon"] and gff.endswith("###")
     pairs = spark.createDataFrame([("q", 1, 10, "A-CG", "ATC-")], "acc string, qstart int, gstart int, query string, genome string")
