@@ -12,12 +12,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, materialise, new_path, table, texts
+from .common import BATCH_ROWS, batch_rows, materialise, new_path, table, texts
 
 MAGIC = b"SWM2"
 END_ID = 2
@@ -109,7 +110,7 @@ class WaveletMatrix:
         for b, plane in enumerate(reversed(self.planes)):
             ones = np.unpackbits(plane.bits(), count=self.n, bitorder="little").view(bool)
             back, zeros = np.empty(self.n, kind), plane.zeros()
-            back[~ones], back[ones] = out[:zeros], out[zeros:] | kind(1 << b)
+            back[np.flatnonzero(~ones)], back[np.flatnonzero(ones)] = out[:zeros], out[zeros:] | kind(1 << b)  # places are taken quicker than a mask
             out = back
         return out
 
@@ -218,9 +219,11 @@ class _Store:
 
 #: Between a letter and a run of these signs that ends a word, the tokenizer cuts by itself.
 _TAIL = re.compile(rb"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,!?;:|#&*%$]+)(?=\s|$)")
-#: A full stop or comma in a run of signs; where there is none, each of them can be cut off by itself.
-_RUN = re.compile(rb"[^\sA-Za-z0-9\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff][.,]")
-#: How a tokenizer's file spells the normalising and cutting that words_of() relies on.
+#: Latin-1 in lower case; and its kinds: full stops and commas as "." and other signs as "!", the rest as "a". Where no "." stands behind a sign, each can be cut off by itself.
+_LOWER = bytes(ord(chr(c).lower()) for c in range(256))
+_WORD_OR_SPACE = re.compile(rb"[\sA-Za-z0-9\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]")
+_KINDS = bytes(ord("." if chr(c) in ".," else "a" if _WORD_OR_SPACE.match(bytes([c])) else "!") for c in range(256))
+#: How a tokenizer's file spells the normalising and cutting that plain_bytes() relies on.
 NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -229,27 +232,34 @@ CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 TRIAL = ("a", "the", "tions", "onenthatwhing", "é", "über", "façonñ", "ß", "ªº", "straßenà", "qzxjkvw", "þðæøå")
 
 
-def words_of(text: str) -> list[bytes] | list[str]:
-    """A text's parts, for a tokenizer that lower-cases and cuts at white space and between letters and signs.
-
-    Texts of Latin-1 letters are lower-cased here and come as Latin-1 bytes; others, and such as may hold a
-    special token's name, come as strings, cut at ASCII white space and unchanged.
-    """
-    if "<|" not in text:
-        try:
-            data = text.lower().encode("latin-1")
-            if _RUN.search(data):
-                return _TAIL.sub(rb" \1", data).split()
-            for sign in (b".", b","):
-                data = data.replace(sign + b" ", b" " + sign + b" ").replace(sign + b"\n", b" " + sign + b"\n")
-            return data.split()
-        except UnicodeEncodeError:
-            pass
-    return [w.decode("utf-8", "replace") for w in text.encode("utf-8", "surrogatepass").split()]
+def plain_bytes(text: str) -> bytes | None:
+    """A text as lower-case Latin-1 bytes with white space wherever a tokenizer cuts that lower-cases and cuts at white space and between
+    letters and signs; None for one of other letters or one that may hold a special token's name."""
+    if "<|" in text:
+        return None
+    try:
+        data = text.encode("latin-1").translate(_LOWER)
+    except UnicodeEncodeError:
+        return None
+    kinds = data.translate(_KINDS)
+    if b".." in kinds or b"!." in kinds:
+        return _TAIL.sub(rb" \1", data)
+    for sign in (b".", b","):
+        data = data.replace(sign + b" ", b" " + sign + b" ").replace(sign + b"\n", b" " + sign + b"\n")
+    return data
+
+
+def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, word numbers of all texts in a row, where each text's begin and the last one's end); cut at ASCII white space by Arrow."""
+    data = pa.array(texts, pa.large_binary())
+    # the kernel looks at bytes only, so that these are Latin-1 and not UTF-8 does no harm
+    cut = pc.ascii_split_whitespace(data.view(pa.large_string()))
+    coded = cut.flatten().view(pa.large_binary()).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), cut.offsets.to_numpy().astype(np.int64)
 
 
 class WordEncoder:
-    """Encodes texts part by part, if the tokenizer's file says that it lower-cases and cuts as words_of() relies on, else as wholes.
+    """Encodes texts part by part, if the tokenizer's file says that it lower-cases and cuts as plain_bytes() relies on, else as wholes.
 
     A part's ids are the library's own, kept once found. The cache has two generations: when the younger is full it
     becomes the older, and parts found in the older one move on, so what is frequent stays.
@@ -269,21 +279,36 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        return self.encode_parts([words_of(t) for t in texts]) if self.by_parts else self._whole(texts)
-
-    def encode_parts(self, docs: list[list]) -> list[bytes]:
+        if not self.by_parts:
+            return self._whole(texts)
         if len(self.cache) > CACHED_WORDS:
             self.cache, self.older = {}, self.cache
-        known, out = self.cache.get, []
-        for parts in docs:
-            ids = list(map(known, parts))
-            if None in ids:
-                ids = [self._found(part) if x is None else x for x, part in zip(ids, parts, strict=True)]
-            out.append(b"".join(ids))
-        return out
+        plain = [plain_bytes(t) for t in texts]
+        ids = iter(self._encode_plain([p for p in plain if p is not None]))
+        return [next(ids) if p is not None else self._encode_words(t) for p, t in zip(plain, texts, strict=True)]
+
+    def _encode_plain(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of texts from plain_bytes(): each distinct word is looked up once, then all places are filled by number."""
+        words, numbers, bounds = words_of(texts)
+        known = self.cache.get
+        found = [known(w) or self._found(w) for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        times = sizes[numbers]
+        ends = np.cumsum(times)
+        total = int(ends[-1]) if len(ends) else 0
+        data = ids[np.arange(total) + np.repeat(starts[numbers] - ends + times, times)].tobytes()
+        cuts = (4 * np.concatenate([[0], ends])[bounds]).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _encode_words(self, text: str) -> bytes:
+        """The ids of any text, cut at ASCII white space and unchanged."""
+        return b"".join(self._found(w.decode("utf-8", "replace")) for w in text.encode("utf-8", "surrogatepass").split())
 
     def _found(self, part: bytes | str) -> bytes:
         """The ids of a part that the younger generation may lack; letters are cut off from signs and digits, where no apostrophe stands with them."""
+        if not part:
+            return b""
         ids = self.cache.get(part) or self.older.get(part)
         if ids is None:
             word = part.decode("latin-1") if isinstance(part, bytes) else part
@@ -291,7 +316,7 @@ class WordEncoder:
             if short and word.isalpha():
                 ids = self._of_letters(word)
             elif short and "'" not in word and len(both := _LETTERS.split(word)) > 1:
-                ids = b"".join(self._of_letters(x) if x.isalpha() else self._found(x.encode("latin-1")) for x in both if x)
+                ids = b"".join(self._found(x.encode("latin-1")) for x in both if x)
             else:
                 ids = self._whole([word])[0]
         self.cache[part] = ids
@@ -372,7 +397,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None) ->
     ranges = max(1, -(-rows.count() // RANGE_DOCS))
     ordered = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
     written = ordered.mapInArrow(_write(folder, tokenizer or default_tokenizer()), "shard_range long, part long, name string, n_docs long, n_tokens long")
-    return materialise(written, "manifest")
+    with batch_rows(docs.sparkSession, RANGE_DOCS):
+        return materialise(written, "manifest")
 
 
 _DOCS = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "n_tokens", "ids_crc32", "n_end_ids")])
