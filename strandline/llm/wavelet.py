@@ -24,6 +24,8 @@ MAGIC = b"SWM2"
 END_ID = 2
 #: Tokens of a shard file at most (a longer document gets a file of its own), and documents of a task's range of ids about.
 SHARD_TOKENS, RANGE_DOCS = 2_000_000, 8_000
+#: Rows of an Arrow batch of texts: a larger one holds fewer distinct words for its size, and costs a worker more memory.
+TEXT_ROWS = 2_048
 #: Distinct words of each of the two generations that a worker keeps the ids of, about.
 CACHED_WORDS = 400_000
 _BLOCK, UNIT = 512, 1 << 16  # bits of a rank block, and bytes of a plane that are compressed together
@@ -397,7 +399,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None) ->
     ranges = max(1, -(-rows.count() // RANGE_DOCS))
     ordered = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
     written = ordered.mapInArrow(_write(folder, tokenizer or default_tokenizer()), "shard_range long, part long, name string, n_docs long, n_tokens long")
-    with batch_rows(docs.sparkSession, RANGE_DOCS):
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
         return materialise(written, "manifest")
 
 
