@@ -1,4 +1,4 @@
-"""Substring dedup: De Bruijn compaction of the word windows that documents share, checked at their source coordinates."""
+"""Substring dedup: the word windows that documents share, by minimiser partitioning in place of De Bruijn compaction; spans are compared by hashes, not word by word."""
 
 from __future__ import annotations
 
