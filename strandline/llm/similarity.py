@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,15 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, materialise, texts
+from .common import batch_rows, discard, materialise, texts
 from .components import connected_components
 from .simhash import fingerprint
 from .substrings import _hashes, _mix, _runs
 
 #: Words of a shingle, and the least Jaccard similarity of two texts' sets of shingles.
 WIDTH, SIMILARITY = 5, 0.8
-#: Texts whose shingles are counted to tell the frequent ones, and how many of these are kept. They set the order of the prefixes, not the result.
-SAMPLE, FREQUENT = 10_000, 200_000
+#: Cells in which the texts that hold a shingle are counted, a power of two, and how many of them travel in a row. They set the order of the prefixes, not the result.
+CELLS, PART = 1 << 22, 1 << 14
 #: Buckets of up to this size give all their pairs at once; of larger ones each text first meets the LEAST first texts and the one before
 #: it, then FIRST of those that are not linked to it by then, and at last all that are not.
 BUCKET, LEAST, FIRST = 16, 3, 8
@@ -48,24 +49,25 @@ def _words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def _cell(own: np.ndarray) -> np.ndarray:
+    return (own & np.uint64(CELLS - 1)).astype(np.int64)
+
+
 def _set_hash(own: np.ndarray) -> int:
     total = int(_mix(own).sum(dtype=np.uint64)) if len(own) else 0
     return total - (1 << 64) if total >> 63 else total
 
 
-def _prefix(own: np.ndarray, known: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+def _prefix(own: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """Of a set's shingles, rare ones first, as many as must hold one of any set that has the similarity."""
-    shingles, counts = known
-    if len(shingles):
-        at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
-        own = own[np.argsort(np.where(shingles[at] == own, counts[at], 0), kind="stable")]
+    own = own[np.argsort(counts[_cell(own)], kind="stable")]
     return own[: len(own) - math.ceil(similarity * len(own) - 1e-6) + 1]
 
 
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("shingles", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
-def _signatures(known: tuple[np.ndarray, np.ndarray], similarity: float):
+def _signatures(counts: np.ndarray, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -73,7 +75,7 @@ def _signatures(known: tuple[np.ndarray, np.ndarray], similarity: float):
                 words = _words(value.as_py())
                 own = shingle_set(words)
                 fp = int(np.uint64(fingerprint(words)).astype(np.int64))
-                rows.append((fp, _set_hash(own), len(own), _prefix(own, known, similarity).view(np.int64), sketch(own)) if len(own) else (fp, 0, 0, [], b""))
+                rows.append((fp, _set_hash(own), len(own), _prefix(own, counts, similarity).view(np.int64), sketch(own)) if len(own) else (fp, 0, 0, [], b""))
             columns = zip(*rows, strict=True) if rows else [()] * 5
             arrays = [pa.array(x, f.type) for x, f in zip(columns, list(_PRINTS)[2:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *arrays], schema=_PRINTS)
@@ -88,25 +90,41 @@ def signatures(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sketch what rules out most sets that are not similar. Texts without words have n = 0.
     """
     rows = texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    known = frequent(docs, docs.count())
+    counts = shingle_counts(docs)
     kind = "doc_id long, text_hash long, fp long, shingles long, n int, prefix array<long>, sketch binary"
-    return materialise(rows.mapInArrow(_signatures(known, similarity), kind), "signatures")
+    return materialise(rows.mapInArrow(_signatures(counts, similarity), kind), "signatures")
+
 
+def _rows_of_cells(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    packed = [zlib.compress(c.tobytes(), 1) for c in parts.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array(packed, pa.binary())], ["part", "counts"])
 
-def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(CELLS, np.uint32)
     for batch in batches:
-        found = [shingle_set(_words(t.as_py())) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64))], ["h"])
+        for value in batch.column("text"):
+            np.add.at(counts, _cell(shingle_set(_words(value.as_py()))), 1)
+    yield _rows_of_cells({i // PART: counts[i : i + PART] for i in range(0, CELLS, PART) if counts[i : i + PART].any()})
 
 
-def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in order that come more than once in about SAMPLE of the n texts, the most frequent FREQUENT of them, and how often they do."""
-    rows = texts(docs).where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(max(1, n // SAMPLE))) == 0)
-    counted = rows.mapInArrow(_all_shingles, "h long").groupBy("h").count().where("count > 1")
-    got = counted.orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()
-    shingles, counts = got.column("h").to_numpy().view(np.uint64), got.column("count").to_numpy()
-    order = np.argsort(shingles)
-    return shingles[order], counts[order]
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, packed in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
+            sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(packed.as_py()), np.uint32)
+    yield _rows_of_cells(sums)
+
+
+def shingle_counts(docs: DataFrame) -> np.ndarray:
+    """For each cell, how often a text holds a shingle that falls there, over all texts. A frequent shingle makes its cell stand out the more, the more texts there are."""
+    spark = docs.sparkSession
+    kind = "part int, counts binary"
+    counted = texts(docs).select("text").mapInArrow(_count, kind).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
+    counts = np.zeros(CELLS, np.uint32)
+    for row in counted.mapInArrow(_sum, kind).toArrow().to_pylist():
+        counts[row["part"] * PART : (row["part"] + 1) * PART] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
+    return counts
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[list[np.ndarray]]:
@@ -293,10 +311,10 @@ def links(docs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY) ->
     """(a, b): links between fingerprints (fp) of documents whose sets of shingles are equal or have the similarity.
 
     prints: signatures(docs). The links connect exactly what all such pairs connect. Equal sets are one node each. Shingles have one order, in which those
-    frequent in a sample come last; two sets of the similarity share one of the first in both, so they meet in a bucket of it, unless sizes
+    of cells with high counts come last; two sets of the similarity share one of the first in both, so they meet in a bucket of it, unless sizes
     and places there rule them out. Buckets of up to BUCKET sets give all pairs. In larger ones a few links for each set come first, and then all pairs whose
     sets these did not connect and whose sketches do not rule them out: a group of near copies costs each of them a few comparisons, and no pair is left out.
-    Pairs are verified on the sets themselves, read again from the text. Texts without words are equal to each other only.
+    Pairs are verified on the sets themselves, read again from the text; first one for each set, then those that these did not connect. Texts without words are equal to each other only.
     """
     spark = docs.sparkSession
     sets = materialise(
@@ -314,18 +332,25 @@ def links(docs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY) ->
     marks = materialise(prints.where("n > 0").select("shingles", "n", "sketch").join(ids, "shingles", "left_semi").dropDuplicates(["shingles"]), "sketches")
     both = pairs.join(marks.toDF("a", "na", "sa"), "a").join(marks.toDF("b", "nb", "sb"), "b")
     alike = materialise(both.mapInArrow(_alike(similarity), "a long, b long"), "alike")
-    ids = alike.select(F.col("a").alias("shingles")).union(alike.select("b")).union(crowded.select("shingles")).distinct()
-    wanted = materialise(sets.select("shingles", F.col("text_hash").alias("wanted_hash"), F.col("doc_id").alias("wanted_id")).join(ids, "shingles", "left_semi"), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     rows = texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    hashes = rows.join(wanted, (F.col("text_hash") == F.col("wanted_hash")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("shingles", "text")
-    hashes = materialise(hashes.mapInArrow(_sets, "shingles long, hashes array<long>").dropDuplicates(["shingles"]), "hashes")
 
     def verified(candidates: DataFrame) -> DataFrame:
+        ids = candidates.select(F.col("a").alias("shingles")).union(candidates.select("b")).distinct()
+        wanted = materialise(sets.select("shingles", F.col("text_hash").alias("wanted_hash"), F.col("doc_id").alias("wanted_id")).join(ids, "shingles", "left_semi"), "wanted")
+        if not (n := wanted.count()):
+            return candidates
+        wanted = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
+        hashes = rows.join(wanted, (F.col("text_hash") == F.col("wanted_hash")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("shingles", "text")
+        hashes = materialise(hashes.mapInArrow(_sets, "shingles long, hashes array<long>").dropDuplicates(["shingles"]), "hashes")
         compared = candidates.join(hashes.toDF("a", "x"), "a").join(hashes.toDF("b", "y"), "b")
-        return materialise(compared.mapInArrow(_verified(similarity), "a long, b long"), "near")
-
-    near = verified(alike)
+        near = materialise(compared.mapInArrow(_verified(similarity), "a long, b long"), "near")
+        discard(spark, hashes)
+        return near
+
+    near = verified(materialise(alike.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first"))
+    roots = connected_components(near)
+    apart = alike.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    near = near.union(verified(materialise(apart, "apart")))
     for most in (FIRST, None) if not crowded.isEmpty() else ():
         units = _units(crowded, connected_components(near), marks)
         with batch_rows(spark, 5_000):

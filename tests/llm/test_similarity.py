@@ -172,3 +172,31 @@ def test_crowded_buckets_give_the_classes_of_all_pairs(spark, monkeypatch, block
                 copy[rng.randrange(120)] = f"g{g}x{rng.randrange(40)}"
             docs[len(docs)] = " ".join(copy)
     assert classes_alike(classes(spark, docs), brute_near(docs, one_print))
+
+
+def test_every_text_counts_for_the_order_of_shingles(spark):
+    docs = {i: " ".join(f"w{i}x{j}" for j in range(i % 9)) + (" shared by many texts here" if i % 3 == 0 else "") for i in range(60)} | {60: None}
+    got = similarity.shingle_counts(spark.createDataFrame([(i, t, "x", "y") for i, t in docs.items()], SCHEMA))
+    want = np.zeros(similarity.CELLS, np.int64)
+    for t in docs.values():
+        np.add.at(want, similarity._cell(similarity.shingle_set(similarity._words(t or ""))), 1)
+    assert want.max() >= 20 and (got == want).all()
+
+
+def test_a_group_costs_links_in_proportion_to_its_texts(spark, monkeypatch):
+    """Texts that verified links connect already are not compared again: 14 near copies have 91 pairs, of which 13 do."""
+    rng, docs, compared = random.Random(6), {}, []
+    for g in range(3):
+        base = [f"g{g}w{rng.randrange(3000)}" for _ in range(150)]
+        for i in range(14):
+            docs[len(docs)] = " ".join([*base[: 10 * i], f"x{g}y{i}", *base[10 * i + 1 :]])
+    write = similarity.materialise
+
+    def counted(frame, label):
+        out = write(frame, label)
+        compared.append(out.count() if label == "near" else 0)
+        return out
+
+    monkeypatch.setattr(similarity, "materialise", counted)
+    assert len(set(classes(spark, docs).values())) == 3
+    assert sum(compared) == 3 * 13
