@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import batch_rows, discard, materialise
+
+#: Edges up to which one task finds the components (16 bytes each), as star rounds of tiny tables cost more memory and time than they save.
+ONE_TASK = 500_000
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges (a, b): every root is hooked to the least one it meets, which at least halves those that meet another."""
+    got = list(batches)
+    a, b = (np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in got] or [np.empty(0, np.int64)]) for c in ("a", "b"))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,13 +54,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge; root is the least node reachable.
 
     edges: two long columns a and b in any order; repeated edges, loops and an empty table are fine (a node with loops
-    only is left out). Alternating large-star and small-star rounds keep the number of edges bounded by the input and end
+    only is left out). Up to ONE_TASK edges go through one task. Of more, alternating large-star and small-star rounds keep the number of edges bounded by the input and end
     after about log2 of the longest path; each round is written to the shared folder, which cuts the lineage. Grouping by
     min() combines before the shuffle, so a hub costs a task no more than any other node.
     """
     spark = edges.sparkSession
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = _state(edges)
+    if before[0] <= ONE_TASK:
+        with batch_rows(spark, 50_000):
+            return materialise(edges.coalesce(1).mapInArrow(_in_one_task, "node long, root long"), "roots")
     while before[0]:
         star = materialise(_large_star(edges), "large-star")
         discard(spark, edges)

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 import xxhash
-from strandline.llm import simhash
+from strandline.llm import components, simhash
 from strandline.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string"
@@ -101,3 +101,23 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 200: 100, 300: 100}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, components.ONE_TASK])
+def test_components_of_random_graphs(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "ONE_TASK", most)
+    rng = random.Random(11)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(1000 + 37 * i % 101, 1000 + 37 * (i + 1) % 101) for i in range(101)]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: find(i) for i in root}
