@@ -79,7 +79,7 @@ def test_wide_numbers():
     assert [x.tolist() for x in seeding._ordered(np.array([1 << 61, 5, 6]), 62)] == [[5, 6, 1 << 61], [1, 2, 0]]
 
 
-@pytest.mark.parametrize("name", ["diag_intersect", "kmer_seed_join", "collapse_diag"])
+@pytest.mark.parametrize("name", ["diag_intersect", "kmer_seed_join", "collapse_diag", "diagonals"])
 def test_no_seed_is_shuffled(spark, name):
     folder = "/root/testdata/sf0.001"
     frame = library.queries()[name](spark, folder)
