@@ -86,7 +86,8 @@ def neighbours(left: DataFrame, right: DataFrame, n: int = 1, side: str = "right
         l.select(*on, F.col("_from").alias("_at"), F.lit(None).cast("int").alias("_occupied")).distinct()
         .union(rings.select(*rkeys, F.col("_ring").alias("_at"), F.col("_number").alias("_occupied")))
     )
-    ahead = Window.partitionBy(*on).orderBy(F.col("_at")).rangeBetween(0, Window.unboundedFollowing)
+    # from the far end on: Spark works a frame that grows out row by row, but one that shrinks anew for each row
+    ahead = Window.partitionBy(*on).orderBy(F.col("_at").desc()).rangeBetween(Window.unboundedPreceding, 0)
     starts = starts.withColumn("_start", F.min("_occupied").over(ahead)).where("_occupied IS NULL AND _start IS NOT NULL").select(*on, F.col("_at").alias("_from"), "_start")
     spread = l.join(starts, [*on, "_from"]).withColumn("_visit", F.explode(F.expr(f"sequence(_start, _start + {n})")))
     test = F.col("_visit") == F.col("_number")
