@@ -10,7 +10,7 @@ def plan(spark, name):
     return library.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString().lower()
 
 
-@pytest.mark.parametrize("name", ["iv_flank_right", "iv_flank_left"])
+@pytest.mark.parametrize("name", ["iv_flank_right", "iv_flank_left", "iv_flank_signed"])
 def test_flanks_have_no_shrinking_frame(spark, name):
     """A frame up to the last row is worked out anew for each row, a cost of the square of a partition."""
     assert "unboundedfollowing" not in plan(spark, name).replace(" ", "")
