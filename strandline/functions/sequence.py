@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,24 +101,52 @@ def translate(seq: Column, frame: int | Column = 0) -> Column:
     return F.coalesce(F.array_join(F.transform(codons, amino_acid), ""), F.lit(""))
 
 
+def _codon_letters() -> tuple[np.ndarray, np.ndarray]:
+    """A number for each byte, and the amino acid of each three numbers."""
+    digits = np.full(256, len(BASES), np.intp)
+    for i, base in enumerate(BASES):
+        digits[[ord(base), ord(base.lower())]] = i
+    digits[list(b"Uu")] = digits[ord("T")]
+    letters = np.full((len(BASES) + 1,) * 3, ord("X"), np.uint8)
+    for codon, aa in CODONS.items():
+        letters[tuple(digits[list(codon.encode())])] = ord(aa)
+    return digits, letters
+
+
+DIGITS, LETTERS = _codon_letters()
+_FRAME = "struct<frame: int, start: int, protein: string>"
+
+
+def _orf_of(seq: str, first: re.Pattern) -> dict | None:
+    best = None
+    digits = DIGITS[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
+    for f in range(3):
+        d = digits[f : f + max(len(digits) - f, 0) // 3 * 3].reshape(-1, 3)
+        protein = LETTERS[d[:, 0], d[:, 1], d[:, 2]].tobytes().decode()
+        for x in first.finditer(protein):
+            if best is None or x.end() - x.start() > len(best["protein"]):  # an equal one of a later frame or start does not count
+                best = {"frame": f, "start": f + x.start() * 3, "protein": x[0]}
+    return best
+
+
+def _orfs(pattern: str):
+    first = re.compile(pattern)
+    kind = pa.struct([("frame", pa.int32()), ("start", pa.int32()), ("protein", pa.string())])
+
+    def run(seqs: pa.Array) -> pa.Array:
+        return pa.array([_orf_of(s.as_py() or "", first) for s in seqs], kind)
+
+    run.__annotations__ = {"seqs": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, _FRAME)
+
+
 def longest_orf(seq: Column, full_length: bool = False) -> Column:
     """A struct (frame, start, protein): the longest open reading frame of the three forward frames; its stop counts.
 
     The first frame part may begin without M unless full_length is asked for; later ones begin at M. Ties keep the lower frame
-    and the earlier start. start is the offset of its first base; null if there is none.
+    and the earlier start. start is the offset of its first base; null if there is none. One pass over each frame, in Arrow batches.
     """
-    first = r"M[^*]*\*?" if full_length else r"^[^*]+\*?|M[^*]*\*?"
-
-    def found(protein: Column, f: Column) -> Column:
-        # the longest first; of equal ones that of the lower frame, then the earlier one
-        return F.transform(
-            F.regexp_extract_all(protein, F.lit(f"({first})"), F.lit(1)),
-            lambda x: F.struct(F.length(x).alias("n"), (-f).alias("order"), (-F.position(x, protein)).alias("at"), x.alias("protein")),
-        )
-
-    # each protein is bound once as an element of an array, not worked out again for each of its frames
-    best = F.array_max(F.flatten(F.transform(F.array(*(translate(seq, f) for f in range(3))), found)))
-    return F.when(best.isNotNull(), F.struct((-best["order"]).alias("frame"), (-best["order"] + (-best["at"] - 1) * 3).alias("start"), best["protein"].alias("protein")))
+    return _orfs(r"M[^*]*\*?" if full_length else r"^[^*]+\*?|M[^*]*\*?")(seq)
 
 
 def mark_mismatches(query: Column, genome: Column) -> Column:

@@ -1,6 +1,8 @@
 """Plans whose cost must follow the input."""
 
 import pytest
+from pyspark.sql import functions as F
+from strandline.functions import sequence as sq
 from strandline.plans import library
 
 FOLDER = "/root/testdata/sf0.001"
@@ -14,3 +16,15 @@ def plan(spark, name):
 def test_flanks_have_no_shrinking_frame(spark, name):
     """A frame up to the last row is worked out anew for each row, a cost of the square of a partition."""
     assert "unboundedfollowing" not in plan(spark, name).replace(" ", "")
+
+
+def test_orf_is_one_pass(spark):
+    """Every frame part was looked for in its protein, and a codon was compared with each entry of a literal map."""
+    assert "arrowevalpython" in plan(spark, "orf") and "regexp_extract_all" not in plan(spark, "orf").split("arrowevalpython")[0]
+
+
+def test_orf_letters(spark):
+    """Either case, U, codes of several bases, ties, and no sequence."""
+    rows = [("augaaYtag",), ("ATGNNNRAYATG",), ("TAGATGAAATAGATGCCCTAG",), ("éATGAAA",), (None,), ("",), ("CC",)]
+    got = [tuple(r.x) if r.x else None for r in spark.createDataFrame(rows, "s string").select(sq.longest_orf(F.col("s")).alias("x")).collect()]
+    assert got == [(0, 0, "MN*"), (0, 0, "MXXM"), (2, 2, "DEIDAL"), (0, 0, "XE"), None, None, None]
