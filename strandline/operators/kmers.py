@@ -104,6 +104,29 @@ def repeated_kmers(positions: DataFrame, key: str = "id") -> DataFrame:
     return positions.join(again, [key, "kmer"])
 
 
+def repeat_counts(sequences: DataFrame, k: int, key: str = "id", seq: str = "seq") -> DataFrame:
+    """(key, repeated, total): windows of each key whose k-mer comes twice or more in its sequences, and all its windows; keys without any are left out.
+
+    Only sequences are shuffled, not windows; a key's sequences are counted together, in memory in proportion to their length.
+    """
+    schema = StructType([sequences.schema[key], StructField("repeated", LongType(), False), StructField("total", LongType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, repeated, total = [], [], []
+            for i, texts in enumerate(batch.column(1)):
+                codes = [code[good] for code, good in (rolling_codes(text.as_py(), k) for text in texts)]
+                if n := sum(map(len, codes)):
+                    code = np.sort(np.concatenate(codes))
+                    same = code[1:] == code[:-1]
+                    rows.append(i)
+                    repeated.append(int((np.append(same, False) | np.append(False, same)).sum()))
+                    total.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(repeated, pa.int64()), pa.array(total, pa.int64())], schema.names)
+
+    return sequences.groupBy(key).agg(F.collect_list(seq).alias("seqs")).mapInArrow(run, schema)
+
+
 def seeds(queries: DataFrame, index: DataFrame, query: str = "id", target: str = "id") -> DataFrame:
     """(query, target, qpos, pos, diagonal): index places of each query k-mer; diagonal is pos - qpos."""
     q = queries.select(F.col("kmer"), F.col(query).alias("query"), F.col("pos").alias("qpos"))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 from strandline.functions import sequence as sq
+from strandline.operators import kmers
 from strandline.plans import library
 
 FOLDER = "/root/testdata/sf0.001"
@@ -28,3 +29,15 @@ def test_orf_letters(spark):
     rows = [("augaaYtag",), ("ATGNNNRAYATG",), ("TAGATGAAATAGATGCCCTAG",), ("éATGAAA",), (None,), ("",), ("CC",)]
     got = [tuple(r.x) if r.x else None for r in spark.createDataFrame(rows, "s string").select(sq.longest_orf(F.col("s")).alias("x")).collect()]
     assert got == [(0, 0, "MN*"), (0, 0, "MXXM"), (2, 2, "DEIDAL"), (0, 0, "XE"), None, None, None]
+
+
+def test_no_window_is_shuffled(spark):
+    assert "kmer" not in plan(spark, "kmer_repeated")
+
+
+def test_repeat_counts(spark):
+    """As repeated_kmers(), also for a key of several sequences, no key, other letters and nothing to count."""
+    rows = [(1, "ACGTACGTAC"), (1, "GTACNACG"), (2, "AC"), (3, None), (None, "AAAAA"), (4, "ACGTT")]
+    frame = spark.createDataFrame(rows, "id long, seq string")
+    got = {r.id: (r.repeated, r.total) for r in kmers.repeat_counts(frame, 3).collect()}
+    assert got == {1: (11, 11), None: (3, 3), 4: (0, 3)}
